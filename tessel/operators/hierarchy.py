@@ -10,12 +10,18 @@ above is on a cycle or below one.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.session import cut
 
 CYCLE_ROOT, CYCLE_DEPTH = "", -1
+#: What is left of the graph is solved by one task once it has no more links than this.
+LOCAL_LINKS = 5_000
 
 
 def _coin(c: Column, round_no: int) -> Column:
@@ -103,7 +109,60 @@ def _core(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(known.join(inner, "node", "left_semi").unionByName(marks))
 
 
-def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = False) -> DataFrame:
+def solve_links(links: list[tuple[str, str, int, list]]) -> Iterator[tuple[str, str, int, list]]:
+    """``(node, root, depth, path)`` of the children of a small graph, cycles included."""
+    up, down = defaultdict(list), defaultdict(list)
+    for child, parent, w, via in links:
+        up[child].append((parent, w, via))
+        down[parent].append(child)
+    found: dict[str, dict] = {p: {p: (0, [p])} for p in down if p not in up}
+    waiting = {c: len(v) for c, v in up.items()}
+    todo, cyclic = list(found), set(up)
+
+    def gather(node: str) -> dict:
+        best = dict(found.get(node, {}))
+        for parent, w, via in up[node]:
+            for root, (depth, path) in found.get(parent, {}).items():
+                new = (depth + w, path + via + [node])
+                if root not in best or new < best[root]:
+                    best[root] = new
+        return best
+
+    while todo:  # from the roots down, as far as every parent is known
+        for child in down.get(todo.pop(), ()):
+            waiting[child] -= 1
+            if not waiting[child]:
+                found[child] = gather(child)
+                cyclic.discard(child)
+                todo.append(child)
+    todo = sorted(cyclic)
+    while todo:  # on cycles and below: until nothing gets shorter
+        again = []
+        for node in todo:
+            best = gather(node)
+            if best != found.get(node, {}):
+                found[node] = best
+                again += down.get(node, ())
+        todo = sorted(set(again))
+    for node in up:
+        for root, (depth, path) in found.get(node, {}).items():
+            yield node, root, depth, path
+        if node in cyclic:
+            yield node, CYCLE_ROOT, CYCLE_DEPTH, []
+
+
+def _solve_locally(edges: DataFrame, with_paths: bool) -> DataFrame:
+    """The rest of the graph in one task; the caller has checked its size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links = [(c, p, int(w), list(via)) for b in batches for c, p, w, via in zip(b["child"], b["parent"], b["w"], b["via"])]
+        rows = [(n, r, d, path if with_paths else []) for n, r, d, path in solve_links(links)]
+        yield pd.DataFrame(rows, columns=["node", "root", "depth", "path"])
+
+    return edges.select("child", "parent", "w", "via").coalesce(1).mapInPandas(run, "node string, root string, depth int, path array<string>")
+
+
+def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = False, local_links: int = LOCAL_LINKS) -> DataFrame:
     """Rows ``(node, root, depth, path)``: each node with every root above it, by the fewest links.
 
     ``nodes(node)`` holds the nodes, ``links(child, parent)`` their links; links to or from what
@@ -112,6 +171,8 @@ def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = Fa
     root ``''`` and depth -1.  ``path`` (root first) is empty unless ``with_paths``; of several
     shortest paths the smallest stands.  No nodes give no rows.  Rounds grow with the logarithm of
     unary chains and with the depth of branching in several parents; lineage is cut every round.
+    Contraction ends when at most ``local_links`` links are left, which one task solves, or when
+    nothing can be contracted, and then the larger core is solved in further rounds.
     """
     nodes = cut(nodes.where("node is not null").select("node").distinct())
     links = links.select("child", "parent").distinct()
@@ -122,20 +183,21 @@ def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = Fa
     roots = cut(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), path.alias("path")))
 
     records: list[DataFrame] = []
-    idle, round_no = 0, 0
-    while idle < 2:
+    left, idle, round_no = edges.count(), 0, 0
+    while left > local_links and idle < 2:
         step = _contract(edges, round_no)
         step = cut(step if with_paths else step.withColumn("via", F.array().cast("array<string>")))
         sizes = {r["kind"]: r["count"] for r in step.groupBy("kind").count().collect()}
+        left = sizes.get("kept", 0)
         if set(sizes) - {"kept"}:
             records.append(step.where("kind <> 'kept'").drop("kind"))
             edges, idle = step.where("kind = 'kept'").drop("kind"), 0
         else:
             idle += 1
-        if not sizes.get("kept", 0):
-            break
         round_no += 1
-    known = roots if edges.isEmpty() else roots.unionByName(_core(edges, roots))
+    known = roots
+    if left:
+        known = roots.unionByName(cut(_solve_locally(edges, with_paths)) if left <= local_links else _core(edges, roots))
     for step in reversed(records):
         got = _below(step, known)
         known = known.unionByName(cut(got if with_paths else got.withColumn("path", F.array().cast("array<string>"))))

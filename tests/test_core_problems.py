@@ -218,12 +218,12 @@ def graph(spark, nodes, links):
     return spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(links, "child string, parent string")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_hierarchy_random(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(1, 5000), (2, 5000), (3, 5000), (1, 0)])
+def test_hierarchy_random(spark, seed, local):
     rng = random.Random(seed)
     nodes = [f"n{i}" for i in range(60)]
     links = [(nodes[rng.randrange(60)], nodes[rng.randrange(62) % 60]) for _ in range(45)] + [(nodes[i], nodes[i - 1]) for i in range(30, 50)]
-    rows = [(r.node, r.root, r.depth) for r in contract_hierarchy(*graph(spark, nodes, links)).collect()]
+    rows = [(r.node, r.root, r.depth) for r in contract_hierarchy(*graph(spark, nodes, links), local_links=local).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute_hierarchy(nodes, links)
 
 
@@ -240,7 +240,7 @@ def test_hierarchy_edges(spark):
 def test_long_chain_and_hot_parent(spark):
     nodes = [f"c{i}" for i in range(200)] + [f"leaf{i}" for i in range(100)]
     links = [(f"c{i + 1}", f"c{i}") for i in range(199)] + [(f"leaf{i}", "c199") for i in range(100)]
-    paths = contract_hierarchy(*graph(spark, nodes, links), with_paths=True).collect()
+    paths = contract_hierarchy(*graph(spark, nodes, links), with_paths=True, local_links=50).collect()
     assert {(r.node, r.depth) for r in paths} == {(f"c{i}", i) for i in range(200)} | {(f"leaf{i}", 200) for i in range(100)}
     assert all(len(r.path) == r.depth + 1 for r in paths)
 
