@@ -13,8 +13,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.session import cut
@@ -108,82 +109,90 @@ def file_evidence(path: str, text: str) -> list[float]:
     return e
 
 
-def _logsum(columns: list[Column]) -> Column:
-    top = F.greatest(*columns)
-    return top + F.log(sum((F.exp(c - top) for c in columns[1:]), F.exp(columns[0] - top)))
+COMPATIBLE = np.full((len(LABELS), len(LABELS)), OTHER) + np.eye(len(LABELS)) * (SAME - OTHER)
 
 
-def _message(beliefs: list[Column]) -> list[Column]:
-    """Per label at the other end: log-sum of belief and compatibility."""
-    return [_logsum([b + (SAME if i == k else OTHER) for k, b in enumerate(beliefs)]) for i in range(len(LABELS))]
+def message(beliefs: np.ndarray) -> np.ndarray:
+    """Per row and label at the other end: log-sum of belief and compatibility."""
+    x = beliefs[:, None, :] + COMPATIBLE[None, :, :]
+    top = x.max(axis=2)
+    return top + np.log(np.exp(x - top[:, :, None]).sum(axis=2))
 
 
-E_COLUMNS = [f"e{i}" for i in range(len(LABELS))]
-M_COLUMNS = [f"m{i}" for i in range(len(LABELS))]
+def columns(letter: str) -> list[str]:
+    return [f"{letter}{i}" for i in range(len(LABELS))]
 
 
-def label_files(files: DataFrame, key: str = "file_id", path: str = "path", content: str = "content") -> DataFrame:
+def doubles(letter: str) -> str:
+    return ", ".join(f"{c} double" for c in columns(letter))
+
+
+def directory_evidence(path: str) -> list[float]:
+    """Log evidence from a directory's own name."""
+    name = path.rsplit("/", 1)[-1]
+    build = 2.0 if BUILD_DIRECTORY.match(name) else 0.0
+    return [0.0, build, build / 4, 4.0 if VENDOR_DIRECTORY.match(name) else 0.0, 0.0]
+
+
+def _mapped(df: DataFrame, schema: str, f) -> DataFrame:
+    """Add to each batch the columns that ``f`` computes, and keep those of the schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for letter, values in f(batch).items():
+                batch[columns(letter)] = values
+            yield batch[names]
+
+    return df.mapInPandas(run, schema)
+
+
+def label_files(files: DataFrame, key: str = "file_id", path: str = "path", content: str = "content", top: int = 4) -> DataFrame:
     """Rows ``(file_id, path, label, p_hand)`` of the ``.py`` and ``.js`` files.
 
     Null and empty texts count as hand-written unless their surroundings say otherwise; a null path
     is not judged; texts are read whole; repeated rows are each labelled; no more columns are read.
-    Rounds: one up and one down per level of directories.
+    The trees start at directories of ``top`` path parts (a repository in ``/srv/project/repo``);
+    there is one round up and one down per level of directories, whatever their sizes.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [file_evidence(p, t or "") for p, t in zip(batch["path"], batch.pop("content"))]
-            for i, c in enumerate(E_COLUMNS):
-                batch[c] = [r[i] for r in rows]
-            yield batch
+    def judge(batch: pd.DataFrame) -> dict:
+        e = np.array([file_evidence(p, t or "") for p, t in zip(batch["path"], batch["content"])]).reshape(-1, len(LABELS))
+        return {"e": e, "m": message(e)}
 
     source = files.select(F.col(f"`{key}`").cast("long").alias("file_id"), F.col(f"`{path}`").alias("path"), F.col(f"`{content}`").alias("content")).where(F.lower("path").rlike(r"\.(py|js)$"))
-    schema = "file_id long, path string, " + ", ".join(f"{c} double" for c in E_COLUMNS)
-    leaves = cut(source.mapInPandas(run, schema).withColumn("dir", F.regexp_replace("path", r"/[^/]*$", "")))
-    message = [m.alias(c) for m, c in zip(_message([F.col(c) for c in E_COLUMNS]), M_COLUMNS)]
-    from_files = leaves.select("dir", *message)
-
+    leaves = cut(_mapped(source, f"file_id long, path string, {doubles('e')}, {doubles('m')}", judge).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")))
     deepest = leaves.agg(F.max(F.size(F.split("dir", "/")))).first()[0] or 0
-    total = [F.sum(c).alias(c) for c in M_COLUMNS]
-    name = F.substring_index("dir", "/", -1)
-    vendor, build = F.rlike(name, F.lit(VENDOR_DIRECTORY.pattern)), F.rlike(name, F.lit(BUILD_DIRECTORY.pattern))
-    own = [F.lit(0.0), F.when(build, 2.0).otherwise(0.0), F.when(build, 0.5).otherwise(0.0), F.when(vendor, 4.0).otherwise(0.0), F.lit(0.0)]
-    depth = F.size(F.split("dir", "/"))
-    by_dir = cut(from_files.groupBy("dir").agg(*total).withColumn("depth", depth))
-    # up: beliefs of each level's directories, and what they send to the level above
-    up: dict[int, DataFrame] = {}
-    sent = None
-    for level in range(deepest, 0, -1):
-        here = by_dir.where(F.col("depth") == level).select("dir", *M_COLUMNS)
-        if sent is not None:
-            here = here.unionByName(sent.select(F.regexp_replace("dir", r"/?[^/]*$", "").alias("dir"), *M_COLUMNS))
-        summed = here.groupBy("dir").agg(*total)
-        beliefs = [F.col(m) + w for m, w in zip(M_COLUMNS, own)]
-        up[level] = cut(summed.select("dir", *(b.alias(f"b{i}") for i, b in enumerate(beliefs))))
-        sent = up[level].select("dir", *(m.alias(c) for m, c in zip(_message([F.col(f"b{i}") for i in range(len(LABELS))]), M_COLUMNS)))
-    # down: a directory's belief without its own message goes to each child
-    full: list[DataFrame] = []
-    above = None
-    for level in range(1, deepest + 1):
-        here = up[level]
-        if above is not None:
-            parent = above.select(F.col("dir").alias("parent"), *(F.col(f"f{i}").alias(f"p{i}") for i in range(len(LABELS))))
-            mine = _message([F.col(f"b{i}") for i in range(len(LABELS))])
-            cavity = [F.col(f"p{i}") - mine[i] for i in range(len(LABELS))]
-            down = _message(cavity)
-            here = here.withColumn("parent", F.regexp_replace("dir", r"/?[^/]*$", "")).join(parent, "parent").select("dir", *((F.col(f"b{i}") + down[i]).alias(f"f{i}") for i in range(len(LABELS))))
-        else:
-            here = here.select("dir", *(F.col(f"b{i}").alias(f"f{i}") for i in range(len(LABELS))))
-        above = cut(here)
-        full.append(above)
-    if not full:
-        return leaves.select("file_id", "path", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("p_hand"))
-    directories = full[0]
-    for d in full[1:]:
-        directories = directories.unionByName(d)
-    mine = _message([F.col(c) for c in E_COLUMNS])
-    down = _message([F.col(f"f{i}") - mine[i] for i in range(len(LABELS))])
-    final = leaves.join(directories, "dir").select("file_id", "path", *((F.col(c) + down[i]).alias(f"x{i}") for i, c in enumerate(E_COLUMNS)))
-    best = F.greatest(*(F.col(f"x{i}") for i in range(len(LABELS))))
+    total = [F.sum(c).alias(c) for c in columns("m")]
+    by_dir = cut(leaves.groupBy("dir").agg(*total).withColumn("level", F.greatest(F.size(F.split("dir", "/")), F.lit(top))))
+
+    def believe(batch: pd.DataFrame) -> dict:
+        own = np.array([directory_evidence(d) for d in batch["dir"]]).reshape(-1, len(LABELS))
+        b = batch[columns("m")].to_numpy() + own
+        return {"b": b, "m": message(b)}
+
+    parent = F.regexp_replace("dir", r"/?[^/]*$", "")
+    up: list[DataFrame] = []  # from the deepest level to the top: beliefs, and what they send up
+    for level in range(max(deepest, top), top - 1, -1):
+        here = by_dir.where(F.col("level") == level).select("dir", *columns("m"))
+        if up:
+            here = here.unionByName(up[-1].select(parent.alias("dir"), *columns("m")))
+        up.append(cut(_mapped(here.groupBy("dir").agg(*total), f"dir string, {doubles('b')}, {doubles('m')}", believe)))
+
+    def descend(batch: pd.DataFrame) -> dict:
+        return {"f": batch[columns("b")].to_numpy() + message(batch[columns("p")].to_numpy() - batch[columns("m")].to_numpy())}
+
+    above = up[-1].select("dir", *(F.col(b).alias(f) for b, f in zip(columns("b"), columns("f"))))
+    directories = above
+    for here in reversed(up[:-1]):
+        whole = above.select(F.col("dir").alias("parent"), *(F.col(f).alias(p) for f, p in zip(columns("f"), columns("p"))))
+        above = cut(_mapped(here.withColumn("parent", parent).join(whole, "parent"), f"dir string, {doubles('f')}", descend))
+        directories = directories.unionByName(above)
+
+    def decide(batch: pd.DataFrame) -> dict:
+        return {"x": batch[columns("e")].to_numpy() + message(batch[columns("f")].to_numpy() - batch[columns("m")].to_numpy())}
+
+    final = _mapped(leaves.join(directories, "dir"), f"file_id long, path string, {doubles('x')}", decide)
+    best = F.greatest(*columns("x"))
     label = F.coalesce(*(F.when(F.col(f"x{i}") == best, n) for i, n in enumerate(LABELS)))
-    return final.select("file_id", "path", label.alias("label"), F.exp(F.col("x0") - _logsum([F.col(f"x{i}") for i in range(len(LABELS))])).alias("p_hand"))
+    return final.select("file_id", "path", label.alias("label"), (F.exp(F.col("x0") - best) / sum((F.exp(F.col(c) - best) for c in columns("x")[1:]), F.exp(F.col("x0") - best))).alias("p_hand"))
