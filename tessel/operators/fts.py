@@ -91,7 +91,7 @@ def parse(query: str) -> tuple:
 
 def atom_hits(post: DataFrame, key: str, atom: Atom, stemmed: bool = False) -> DataFrame:
     """``(key, tf)`` of an atom: phrases are joins on position, prefixes range predicates on the term."""
-    ws = [w if atom.prefix and i == len(atom.words) - 1 else stem(w) if stemmed else w for i, w in enumerate(atom.words)]
+    ws = [stem(w) if stemmed else w for w in atom.words]
 
     def of(i: int) -> DataFrame:
         w = ws[i]
