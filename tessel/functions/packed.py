@@ -34,17 +34,19 @@ def _replace(c: Column, old: str, new: str) -> Column:
 
 
 def _restore(token: Column, spans: Column) -> Column:
-    pieces = F.split(token, OPEN, -1)
-
-    def piece(x: Column, i: Column) -> Column:
-        span = F.get(spans, F.substring_index(x, CLOSE, 1).cast("int"))
-        rest = F.substring_index(x, CLOSE, -1)
-        again = (rest == "") & (i < F.size(pieces) - 1)
-        return F.when(i == 0, x).otherwise(
-            F.concat(F.substr(span, F.lit(2), F.length(span) - 2), rest, F.when(again, F.substr(span, F.lit(1), F.lit(1))).otherwise(""))
-        )
-
-    out = F.when(F.contains(token, F.lit(OPEN)), F.array_join(F.transform(pieces, piece), "")).otherwise(token)
+    def joined(b: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            span = F.get(b["spans"], F.substring_index(x, CLOSE, 1).cast("int"))
+            rest = F.substring_index(x, CLOSE, -1)
+            again = (rest == "") & (i < F.size(b["pieces"]) - 1)
+            return F.when(i == 0, x).otherwise(
+                F.concat(F.substr(span, F.lit(2), F.length(span) - 2), rest, F.when(again, F.substr(span, F.lit(1), F.lit(1))).otherwise(""))
+            )
+
+        return F.array_join(F.transform(b["pieces"], piece), "")
+
+    bound = let(F.struct(F.split(token, OPEN, -1).alias("pieces"), spans.alias("spans")), joined)
+    out = F.when(F.contains(token, F.lit(OPEN)), bound).otherwise(token)
     for mark, char in ((DQUOTE, '"'), (SQUOTE, "'"), (BACKSLASH, "\\")):
         out = _replace(out, mark, char)
     for i in reversed(range(len(PRIVATE))):
