@@ -28,7 +28,7 @@ def _coin(c: Column, round_no: int) -> Column:
     return F.pmod(F.xxhash64(c, F.lit(round_no)), F.lit(2)) == 1
 
 
-def _contract(edges: DataFrame, round_no: int) -> DataFrame:
+def _contract(edges: DataFrame, round_no: int, compress: bool) -> DataFrame:
     """One round over checkpointed edges: each link is marked kept, raked or compressed.
 
     The link into a compressed node becomes a bypass in the same round, so a leaf below it is
@@ -39,7 +39,7 @@ def _contract(edges: DataFrame, round_no: int) -> DataFrame:
         edges.select(F.col("parent").alias("node"), F.lit(None).alias("up"), link.alias("down"))
     )
     stats = ends.groupBy("node").agg(F.count("up").alias("ups"), F.count("down").alias("downs"), F.min("up").alias("up"), F.min("down").alias("down"))
-    chain = stats.where((F.col("ups") == 1) & (F.col("downs") == 1) & (F.col("up.parent") != F.col("node")) & _coin(F.col("node"), round_no) & ~_coin(F.col("up.parent"), round_no))
+    chain = stats.where(F.lit(compress) & (F.col("ups") == 1) & (F.col("downs") == 1) & (F.col("up.parent") != F.col("node")) & _coin(F.col("node"), round_no) & ~_coin(F.col("up.parent"), round_no))
     leaves = stats.where((F.col("downs") == 0)).select(F.col("node").alias("child"), F.lit(True).alias("leaf"))
     marked = edges.join(leaves, "child", "left").select("child", "parent", "w", "via", F.col("leaf").isNotNull().alias("leaf"), F.lit(0).alias("gone"))
     via = F.lit(None).cast("array<string>")
@@ -87,7 +87,7 @@ def _below(links: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _core(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Roots and cycle marks of the uncontractible core, by relaxation and peeling from above."""
+    """Roots (in a closure: all ancestors) and cycle marks of the uncontractible core, by relaxation and peeling from above."""
     left, size = edges.select("child", "parent"), -1
     while True:  # free the nodes whose every way up ends
         free = left.select(F.col("parent").alias("node")).distinct().join(left.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
@@ -96,7 +96,8 @@ def _core(edges: DataFrame, roots: DataFrame) -> DataFrame:
             break
         size = now
     marks = left.select(F.col("child").alias("node")).distinct().select("node", F.lit(CYCLE_ROOT).alias("root"), F.lit(CYCLE_DEPTH).alias("depth"), F.array().cast("array<string>").alias("path"))
-    known = cut(roots.join(edges.select(F.col("parent").alias("node")).distinct(), "node", "left_semi"))
+    ends = edges.select(F.col("parent").alias("node")).union(edges.select(F.col("child").alias("node"))).distinct()
+    known = cut(roots.join(ends, "node", "left_semi"))
     front = known
     while True:
         step = _below(edges, front)
@@ -109,8 +110,8 @@ def _core(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(known.join(inner, "node", "left_semi").unionByName(marks))
 
 
-def solve_links(links: list[tuple[str, str, int, list]]) -> Iterator[tuple[str, str, int, list]]:
-    """``(node, root, depth, path)`` of the children of a small graph, cycles included."""
+def solve_links(links: list[tuple[str, str, int, list]], closure: bool = False) -> Iterator[tuple[str, str, int, list]]:
+    """``(node, root, depth, path)`` of the children of a small graph, cycles included; in a closure every node is a root."""
     up, down = defaultdict(list), defaultdict(list)
     for child, parent, w, via in links:
         up[child].append((parent, w, via))
@@ -120,7 +121,7 @@ def solve_links(links: list[tuple[str, str, int, list]]) -> Iterator[tuple[str,
     todo, cyclic = list(found), set(up)
 
     def gather(node: str) -> dict:
-        best = dict(found.get(node, {}))
+        best = dict(found.get(node, {node: (0, [node])} if closure else {}))
         for parent, w, via in up[node]:
             for root, (depth, path) in found.get(parent, {}).items():
                 new = (depth + w, path + via + [node])
@@ -136,6 +137,8 @@ def solve_links(links: list[tuple[str, str, int, list]]) -> Iterator[tuple[str,
                 cyclic.discard(child)
                 todo.append(child)
     todo = sorted(cyclic)
+    if closure:
+        found |= {node: {node: (0, [node])} for node in cyclic}
     while todo:  # on cycles and below: until nothing gets shorter
         again = []
         for node in todo:
@@ -151,18 +154,18 @@ def solve_links(links: list[tuple[str, str, int, list]]) -> Iterator[tuple[str,
             yield node, CYCLE_ROOT, CYCLE_DEPTH, []
 
 
-def _solve_locally(edges: DataFrame, with_paths: bool) -> DataFrame:
+def _solve_locally(edges: DataFrame, with_paths: bool, closure: bool) -> DataFrame:
     """The rest of the graph in one task; the caller has checked its size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         links = [(c, p, int(w), list(via)) for b in batches for c, p, w, via in zip(b["child"], b["parent"], b["w"], b["via"])]
-        rows = [(n, r, d, path if with_paths else []) for n, r, d, path in solve_links(links)]
+        rows = [(n, r, d, path if with_paths else []) for n, r, d, path in solve_links(links, closure)]
         yield pd.DataFrame(rows, columns=["node", "root", "depth", "path"])
 
     return edges.select("child", "parent", "w", "via").coalesce(1).mapInPandas(run, "node string, root string, depth int, path array<string>")
 
 
-def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = False, local_links: int = LOCAL_LINKS) -> DataFrame:
+def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = False, local_links: int = LOCAL_LINKS, closure: bool = False) -> DataFrame:
     """Rows ``(node, root, depth, path)``: each node with every root above it, by the fewest links.
 
     ``nodes(node)`` holds the nodes, ``links(child, parent)`` their links; links to or from what
@@ -172,7 +175,9 @@ def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = Fa
     shortest paths the smallest stands.  No nodes give no rows.  Rounds grow with the logarithm of
     unary chains and with the depth of branching in several parents; lineage is cut every round.
     Contraction ends when at most ``local_links`` links are left, which one task solves, or when
-    nothing can be contracted, and then the larger core is solved in further rounds.
+    nothing can be contracted, and then the larger core is solved in further rounds.  With
+    ``closure`` every node counts as a root of its own, so the rows are all pairs of a node and an
+    ancestor; chains are then not compressed, as a bypass would lose the ancestors on it.
     """
     nodes = cut(nodes.where("node is not null").select("node").distinct())
     links = links.select("child", "parent").distinct()
@@ -180,12 +185,13 @@ def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = Fa
     edges = cut(links.select("child", "parent", F.lit(1).alias("w"), F.array().cast("array<string>").alias("via")))
     roots = nodes.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
     path = F.array("node") if with_paths else F.array().cast("array<string>")
+    roots = nodes if closure else roots
     roots = cut(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), path.alias("path")))
 
     records: list[DataFrame] = []
     left, idle, round_no = edges.count(), 0, 0
     while left > local_links and idle < 2:
-        step = _contract(edges, round_no)
+        step = _contract(edges, round_no, not closure)
         step = cut(step if with_paths else step.withColumn("via", F.array().cast("array<string>")))
         sizes = {r["kind"]: r["count"] for r in step.groupBy("kind").count().collect()}
         left = sizes.get("kept", 0)
@@ -197,17 +203,17 @@ def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = Fa
         round_no += 1
     known = roots
     if left:
-        known = roots.unionByName(cut(_solve_locally(edges, with_paths)) if left <= local_links else _core(edges, roots))
+        known = roots.unionByName(cut(_solve_locally(edges, with_paths, closure)) if left <= local_links else _core(edges, roots))
     for step in reversed(records):
         got = _below(step, known)
         known = known.unionByName(cut(got if with_paths else got.withColumn("path", F.array().cast("array<string>"))))
     return known.groupBy("node", "root").agg(F.min(F.struct("depth", "path")).alias("s")).select("node", "root", "s.depth", "s.path")
 
 
-def descendants(paths: DataFrame) -> DataFrame:
-    """``(node, descendant, depth)`` along the paths of ``contract_hierarchy(..., with_paths=True)``."""
-    above = paths.where(F.size("path") > 1).select(F.col("node").alias("descendant"), F.posexplode("path").alias("p", "node"), (F.size("path") - 1).alias("last"))
-    return above.where("p < last").groupBy("node", "descendant").agg(F.min(F.col("last") - F.col("p")).cast("int").alias("depth"))
+def descendants(nodes: DataFrame, links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """``(node, descendant, depth)``: everything below each node, by the fewest links."""
+    rows = contract_hierarchy(nodes, links, local_links=local_links, closure=True).where("depth > 0 and root <> node")
+    return rows.select(F.col("root").alias("node"), F.col("node").alias("descendant"), "depth")
 
 
 def qualified(name: Column, module: Column) -> Column:

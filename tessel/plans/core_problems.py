@@ -76,8 +76,7 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    nodes, links = hierarchy_graph(spark, d)
-    rows = descendants(contract_hierarchy(nodes, links, with_paths=True))
+    rows = descendants(*hierarchy_graph(spark, d))
     return rows.select(*_named("node"), F.substring_index("descendant", SEP, -1).alias("descendant"), "depth")
 
 

@@ -253,10 +253,17 @@ def test_found_hierarchies_equal_brute_force(spark, small):
     assert {tuple(r) for r in q.p6_found(spark, small).collect()} == split
 
 
-def test_descendants(spark):
-    nodes, links = graph(spark, "abcd", [("b", "a"), ("c", "b"), ("d", "b")])
-    rows = {tuple(r) for r in descendants(contract_hierarchy(nodes, links, with_paths=True)).collect()}
-    assert rows == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)}
+@pytest.mark.parametrize("local", [5000, 3])
+def test_descendants(spark, local):
+    links = [("b", "a"), ("c", "b"), ("d", "b"), ("d", "x"), ("x", "a"), ("x", "y"), ("p", "q"), ("q", "p"), ("r", "p"), ("p", "a")]
+    nodes = sorted({n for x in links for n in x})
+    want = set()
+    for n in nodes:
+        dist, front = {n: 0}, [n]
+        while front:
+            front = [c for f in front for c, p in links if p == f and c not in dist and not dist.update({c: dist[f] + 1})]
+        want |= {(n, c, k) for c, k in dist.items() if k}
+    assert {tuple(r) for r in descendants(*graph(spark, nodes, links), local_links=local).collect()} == want
 
 
 # ---- increments
