@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.session import spread
+
 CHILD_KEYS = ("children", "elements", "nodes")
 SCALAR, LIST, OBJECT, ELEMENT, VIEW, DUMP, ENVELOPE = range(7)
 #: variant of an element -> columns of its typed table besides the supertype's
@@ -221,7 +223,8 @@ def flatten_nested(df: DataFrame, key: str = "dump_id", payload: str = "payload"
 
     Null, empty and invalid payloads give no row; a view without ``arch`` takes a number but gives
     none; nesting may be of any depth; repeated payloads under different keys each give their rows;
-    other columns of the input are not read.  Narrow: no shuffle, one pass over the payloads.
+    other columns of the input are not read.  One pass over the payloads, and no shuffle where the
+    input has as many splits as the session has cores.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +241,8 @@ def flatten_nested(df: DataFrame, key: str = "dump_id", payload: str = "payload"
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    return df.select(F.col(f"`{key}`").cast("long").alias("dump_id"), F.col(f"`{payload}`").alias("payload")).where("dump_id is not null and payload is not null").mapInPandas(run, ELEMENT_SCHEMA)
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("dump_id"), F.col(f"`{payload}`").alias("payload")).where("dump_id is not null and payload is not null")
+    return spread(rows).mapInPandas(run, ELEMENT_SCHEMA)
 
 
 def variant_tables(elements: DataFrame) -> dict[str, DataFrame]:
