@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.session import cut
+from tessel.session import cut, spread
 
 LABELS = ("hand", "generated", "minified", "vendored", "blob")
 #: log potential of a child's label under its directory's, over a flat one
@@ -161,7 +161,7 @@ def label_files(files: DataFrame, key: str = "file_id", path: str = "path", cont
         return {"e": e, "m": message(e)}
 
     source = files.select(F.col(f"`{key}`").cast("long").alias("file_id"), F.col(f"`{path}`").alias("path"), F.col(f"`{content}`").alias("content")).where(F.lower("path").rlike(r"\.(py|js)$"))
-    leaves = cut(_mapped(source, f"file_id long, path string, {doubles('e')}, {doubles('m')}", judge).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")))
+    leaves = cut(_mapped(spread(source), f"file_id long, path string, {doubles('e')}, {doubles('m')}", judge).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")))
     deepest = leaves.agg(F.max(F.size(F.split("dir", "/")))).first()[0] or 0
     total = [F.sum(c).alias(c) for c in columns("m")]
     by_dir = cut(leaves.groupBy("dir").agg(*total).withColumn("level", F.greatest(F.size(F.split("dir", "/")), F.lit(top))))

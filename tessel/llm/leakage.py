@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, item_id long, edits int"
 
@@ -119,11 +121,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, width: int = 13, max_edit
 
     With no edits allowed, equal windows always collide and recall is 1; with edits, ``walks`` sets
     the recall.  Items go to the tasks in blocks of ``block_items`` (a bound on what is broadcast),
-    all blocks against all documents, so any number of items works; documents are read whole and
-    never shuffled.  Null and short texts hold no window; repeated documents each report; items of
+    all blocks against all documents, so any number of items works; documents are read whole, and
+    not shuffled where the input has as many splits as the session has cores.  Null and short texts hold no window; repeated documents each report; items of
     equal text all report.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text")).where("doc_id is not null and text is not null")
+    docs = spread(documents.select(F.col("doc_id").cast("long"), F.col("text")).where("doc_id is not null and text is not null"))
     spark = documents.sparkSession
     out = None
     block: list[tuple[int, str]] = []

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.grammars import DIALECTS, parses
+from tessel.session import spread
 
 
 def _exact(text: str, extension: str) -> bool:
@@ -44,7 +45,7 @@ def check_files(files: DataFrame, key: str = "file_id", path: str = "path", cont
     The extension decides, in any case of letters; other files are not judged.  Null content and
     null paths are not judged either; an empty text is judged as a text (no XML document).  Texts
     are parsed whole, whatever their length and nesting; repeated rows each give a row; further
-    columns are not read.  Narrow: no shuffle.
+    columns are not read.  No shuffle where the input has as many splits as the session has cores.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +56,7 @@ def check_files(files: DataFrame, key: str = "file_id", path: str = "path", cont
     language = F.lower(F.regexp_extract(F.col(f"`{path}`"), r"\.([^./]+)$", 1))
     rows = files.select(F.col(f"`{key}`").cast("long").alias("file_id"), F.col(f"`{group}`").cast("string").alias("repo"), language.alias("language"), F.col(f"`{content}`").alias("content"))
     rows = rows.where(F.col("language").isin(*DIALECTS) & F.col("content").isNotNull())
-    return rows.mapInPandas(run, "file_id long, repo string, language string, well_formed boolean")
+    return spread(rows).mapInPandas(run, "file_id long, repo string, language string, well_formed boolean")
 
 
 def failure_rates(checked: DataFrame) -> DataFrame:
