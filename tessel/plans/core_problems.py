@@ -91,4 +91,18 @@ def p7_pending(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_fields, p2_variants, p4_found, p4_sizes, p6_found, p6_paths, p6_descendants, p7_found, p7_pending)}
-ORACLES: dict[str, str] = {}
+UP = "regexp_replace({}, '/[^/]+/[.][.]/', '/')"
+NORMAL = "'/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.'), '/') || '/'"
+for _ in range(4):
+    NORMAL = UP.format(NORMAL)
+CHANGES_SQL = f"""WITH m AS (SELECT r.project_name, max(cutoff_at) AS w FROM index_results r JOIN (SELECT DISTINCT name, addons_hash FROM index_projects) p ON p.name = r.project_name AND p.addons_hash = r.addons_hash
+WHERE finished_at IS NOT NULL AND lower(trim(status)) IN ('ok', 'done') GROUP BY 1),
+s AS (SELECT *, {NORMAL} AS np FROM module_scans WHERE project_name IS NOT NULL AND path IS NOT NULL),
+now AS (SELECT project_name, np, arg_max(module_hash, (scanned_at, -scan_id)) AS h, arg_max(scan_id, (scanned_at, -scan_id)) AS scan_id FROM s GROUP BY 1, 2),
+old AS (SELECT s.project_name, np, arg_max(module_hash, (scanned_at, -scan_id)) AS h FROM s JOIN m ON m.project_name = s.project_name WHERE arrived_at <= w GROUP BY 1, 2),
+c AS (SELECT now.* FROM now LEFT JOIN old ON old.project_name = now.project_name AND old.np = now.np WHERE old.np IS NULL OR old.h IS DISTINCT FROM now.h)
+"""
+ORACLES = {
+    "p7_found": CHANGES_SQL + "SELECT DISTINCT scan_id FROM c",
+    "p7_pending": CHANGES_SQL + "SELECT project_name, count(*) AS n_paths FROM c GROUP BY 1",
+}
