@@ -111,6 +111,8 @@ def _survivors_sql(name: str, key: str, member: str, columns: tuple[str, ...]) -
 
 
 ORACLES = {
+    "p10_found": """WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, p, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS p FROM documents))
+SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id""",
     "p5_found": _survivors_sql("model_methods", "method_id", "method_name", METHODS) + "\nUNION ALL\n" + _survivors_sql("model_fields", "field_id", "field_name", FIELDS),
     "p8_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}\x0b]+')) > 1024",
     "p9_found": r"""
