@@ -1,13 +1,16 @@
 """Sources, extraction, build and tools over a synthetic add-on tree."""
 
+import json
 import os
 
 import pytest
 
+from tessel.cli import main
 from tessel.plans.build import Index, derive
 from tessel.session import table
 from tessel.sources.extract import facts, table_of
 from tessel.sources.files import detect_version, excluded, find_config, from_table, load_config, resolve_roots, scan
+from tessel.tools import graphs
 from tessel.tools import queries as T
 from tessel.tools.html import page
 from tessel.tools.registry import Registry
@@ -183,3 +186,26 @@ def test_registry(tmp_path):
     assert r.active() == "b" and r.remove("b") and r.active() is None and not r.remove("b")
     with pytest.raises(KeyError):
         r.route("b")
+
+
+def test_whole_graph(kg):
+    edges = graphs.edges(kg).cache()
+    kinds = {r.type for r in edges.select("type").distinct().collect()}
+    assert {"field_rel", "inherit", "defines", "has_method", "compute", "state", "view_of", "view_inherit", "action", "access", "rule", "cron", "depends"} == kinds
+    nodes = {r.id: (r.kind, r.external) for r in graphs.nodes(kg, edges).collect()}
+    assert nodes["m:fx.order"] == ("model", False) and nodes["mod:core"] == ("module", True) and nodes["mt:fx.order.action_done"][0] == "method"
+    near = {(r.src, r.dst) for r in graphs.around(edges, "m:fx.country", 1).collect()}
+    assert ("m:fx.partner", "m:fx.country") in near and not any("fx.line" in s for s, _ in near)
+
+
+def test_command_line(spark, tree, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    base = ["--index", str(tmp_path / "i"), "--registry", str(tmp_path / "r.json"), "--roots", tree]
+    run = lambda *x: (main([*base, *x], spark), json.loads(capsys.readouterr().out))
+    assert run("index")[1]["mode"] == "full" and run("index")[1]["modules_indexed"] == 0
+    assert run("status")[1]["stale_modules"] == 0 and run("stats")[1]["models"] > 0
+    code, got = run("query", "get_constraints", "fx.order")
+    assert code == 0 and got["total"] == 2
+    assert run("query", "analyze_change_impact", "model=fx.order")[0] == 1
+    assert run("graph", "--start", "m:fx.order", "--out", str(tmp_path / "g.html"))[1]["edges"] > 0 and "m:fx.order" in (tmp_path / "g.html").read_text()
+    assert run("project", "add", "p")[1]["roots"] == [tree] and list(run("project", "list")[1]) == ["p"] and run("project", "info", "q")[0] == 1
