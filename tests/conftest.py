@@ -10,9 +10,10 @@ DATA = os.environ.get("TESSEL_TESTDATA", "/root/testdata")
 
 @pytest.fixture(scope="session")
 def spark():
-    from tessel.session import local_session
+    from tessel.session import local_session, ship
 
     session = local_session(4, 4)
+    ship(session)
     yield session
     session.stop()
 
