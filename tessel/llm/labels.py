@@ -35,11 +35,13 @@ COPYRIGHT = re.compile(r"(?i)copyright\s+(?:\(c\)|©)?\s*\d{4}|\(c\)\s+(?:\d{4}|
 UPSTREAM = re.compile(r"(?i)\bupstream (?:project|version)|\bbundled copy\b|\bvendored\b|\bunmodified\b|\bin pure python\b")
 UMD = re.compile(r"typeof define\s*===?\s*['\"]function['\"]\s*&&\s*define\.amd|typeof exports\s*===?\s*['\"]object['\"]")
 BUNDLE = re.compile(r"(?m)^/\*{3,}/|__webpack_|__unpack__|\bparcelRequire\b|^//# sourceMappingURL=")
-OTHER_LANGUAGE = re.compile(r"\A\s*(?:<\?xml|<!DOCTYPE|<[A-Za-z][\w:.-]*[\s>/]|id,name,)")
+OTHER_LANGUAGE = re.compile(r"\A\s*(?:<\?xml|<!|<[A-Za-z][\w:.-]*[\s>/]|id,name,)")
 CSS = re.compile(r"(?m)^\s*[.#@]?[\w.#>:,\s-]+\{\s*$\n\s*[\w-]+\s*:[^{}]*;\s*$")
 LITERAL = re.compile(r"""[bru]?"(?:[^"\\\n]|\\.)*+"|[bru]?'(?:[^'\\\n]|\\.)*+'|(?<![\w.])-?\d[\w.]*""")
 WORD = re.compile(r"[^\W\d]\w*")
-SHAPE = re.compile(r"[^\W\d]\w*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|\s+")
+SHAPE = re.compile(r"[^\W\d]\w*|-?\d[\w.]*(?:\s*,\s*-?\d[\w.]*)*|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|\s+")
+ESCAPED = re.compile(r"\\x[0-9a-fA-F]{2}")
+ENCODED = re.compile(r"[A-Za-z0-9+/=]{400}")
 COMMENT = {"py": re.compile(r"\A(?:\s|#[^\n]*|[rRuU]?\"\"\"[\s\S]*?\"\"\"|[rRuU]?'''[\s\S]*?'''|['\"]use strict['\"];?)*"), "js": re.compile(r"\A(?:\s|//[^\n]*|/\*[\s\S]*?\*/|['\"]use strict['\"];?)*")}
 CODE = re.compile(r"\b(?:def|class|function|return|if|for|while|import|from|export|try|switch|lambda|yield|await)\b|=>")
 CONFLICT = re.compile(r"(?m)^(?:<{7}|={7}|>{7}|\|{7})(?: [^\n]*)?$\n?")
@@ -72,18 +74,18 @@ def file_evidence(path: str, text: str) -> list[float]:
 
     notes = [x for x in re.split(r"\n", head) if GENERATED_NOTE.search(x)]
     if notes:
-        e[generated] += 1.0 + (3.5 if any(TOOL.search(x) or len(GENERATED_NOTE.findall(x)) > 1 or re.search(r"(?i)overwritten|lost", x) for x in notes) else 0)
+        e[generated] += 1.0 + (5.0 if any(TOOL.search(x) or len(GENERATED_NOTE.findall(x)) > 1 or re.search(r"(?i)overwritten|lost", x) for x in notes) else 0)
     if BUNDLE.search(text):
-        e[generated] += 5
+        e[generated] += 7
     if COPYRIGHT.search(head):
-        e[vendored] += 4
+        e[vendored] += 7
     if UPSTREAM.search(head):
-        e[vendored] += 4
+        e[vendored] += 7
     if UMD.search(text):
-        e[vendored] += 5
+        e[vendored] += 6
 
     # hand-written code is wordy and varied; tables and stubs repeat one shape of line
-    shapes = Counter(SHAPE.sub(lambda m: "w" if m[0][0].isalpha() or m[0][0] == "_" else " " if m[0].isspace() else "v", x).strip() for x in lines)
+    shapes = Counter(SHAPE.sub(lambda m: " " if m[0].isspace() else "w" if m[0][0].isalpha() or m[0][0] == "_" else "v", x).strip() for x in lines)
     repeated = 1 - len(shapes) / len(lines)
     longest, average = max(map(len, lines)), len(body) / len(lines)
     literal = sum(len(m) for m in LITERAL.findall(body)) / letters
@@ -100,6 +102,8 @@ def file_evidence(path: str, text: str) -> list[float]:
         e[minified] += 4 + 2 * (short > 0.6)
     elif language == "js" and short > 0.72 and average > 60:
         e[minified] += 2
+    if 4 * len(ESCAPED.findall(body)) > 0.6 * letters or ENCODED.search(body) and longest > 2000:
+        e[blob] += 6
     if longest > 2000 and code <= 2:
         e[blob] += 3
     if re.match(r"\s*[\[{]", body) and literal > 0.4 and code <= 1:
