@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.packed import packed_values
@@ -17,7 +17,12 @@ def explode_packed(df: DataFrame, key: str, columns: Sequence[str], table_name:
     empty fields give no row, repeated rows each give theirs, an empty table gives an empty
     result, and further columns of the input are never looked at, whatever their names.
     """
-    fields = F.array(*(F.struct(F.lit(c).alias("column_name"), packed_values(F.col(f"`{c}`")).alias("vals")) for c in columns))
+
+    def vals(c: Column) -> Column:
+        # a text without delimiter or blank holds one value at most, so it is not split where two are asked for
+        return F.when(F.rlike(c, F.lit(r"[,;|\s\u00a0]") if least > 1 else F.lit("")), packed_values(c)).otherwise(F.array().cast("array<string>"))
+
+    fields = F.array(*(F.struct(F.lit(c).alias("column_name"), vals(F.col(f"`{c}`")).alias("vals")) for c in columns))
     long = df.select(F.col(f"`{key}`").cast("long").alias("row_id"), F.explode(fields).alias("f")).select("row_id", "f.column_name", "f.vals")
     return (
         long.where(F.size("vals") >= least)
