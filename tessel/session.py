@@ -54,7 +54,8 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows over at least as many tasks as the session has cores, for work in Python on few input splits.
 
-    Large inputs have more splits than that and are left as they are, without a shuffle.
+    Large inputs have more splits than that and are left as they are, without a shuffle.  Meant
+    for scans: asking a plan with shuffles for its partitions would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
