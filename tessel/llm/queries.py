@@ -84,7 +84,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     members = cut(classes(documents))
     one = representatives(documents, members)
-    rows = shares(one, shared_spans(one, cut(shared_pairs(one))))
+    rows = shares(one, shared_spans(one, cut(shared_pairs(documents, members))))
     copies = members.groupBy(F.col("class_id").alias("doc_id")).agg(F.count("*").alias("n_copies"))
     return rows.join(copies, "doc_id")
 
