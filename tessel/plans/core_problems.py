@@ -102,7 +102,31 @@ now AS (SELECT project_name, np, arg_max(module_hash, (scanned_at, -scan_id)) AS
 old AS (SELECT s.project_name, np, arg_max(module_hash, (scanned_at, -scan_id)) AS h FROM s JOIN m ON m.project_name = s.project_name WHERE arrived_at <= w GROUP BY 1, 2),
 c AS (SELECT now.* FROM now LEFT JOIN old ON old.project_name = now.project_name AND old.np = now.np WHERE old.np IS NULL OR old.h IS DISTINCT FROM now.h)
 """
+NESTED_SQL = """WITH RECURSIVE d AS (SELECT dump_id, coalesce(json_extract(payload, '$.views'), json_extract(payload, '$.export.data.views')) AS v FROM view_dumps WHERE json_valid(payload)),
+l AS (SELECT dump_id, CASE WHEN json_type(v) = 'ARRAY' THEN CAST(v AS JSON[]) ELSE [v] END AS l FROM d WHERE v IS NOT NULL),
+vs AS (SELECT dump_id, unnest(l) AS view, unnest(range(1, len(l) + 1)) AS view_no FROM l),
+a AS (SELECT dump_id, view_no, CASE WHEN json_type(view, '$.arch') = 'VARCHAR' THEN TRY_CAST(json_extract_string(view, '$.arch') AS JSON) ELSE json_extract(view, '$.arch') END AS arch FROM vs),
+t(dump_id, view_no, path, node) AS (SELECT dump_id, view_no, []::BIGINT[], arch FROM a WHERE json_type(arch) = 'OBJECT' UNION ALL
+  SELECT dump_id, view_no, list_append(path, i), child FROM (SELECT dump_id, view_no, path, unnest(kids) AS child, unnest(range(len(kids))) AS i FROM
+    (SELECT dump_id, view_no, path, CASE WHEN json_type(k) = 'ARRAY' THEN CAST(k AS JSON[]) WHEN json_type(k) = 'OBJECT' THEN [k] ELSE [] END AS kids FROM
+      (SELECT dump_id, view_no, path, coalesce(json_extract(node, '$.children'), json_extract(node, '$.elements'), json_extract(node, '$.nodes')) AS k FROM t)))),
+n AS (SELECT dump_id, view_no, path, row_number() OVER (PARTITION BY dump_id, view_no ORDER BY path) AS elem_no FROM t)
+SELECT n.dump_id, n.view_no::INT AS view_no, n.elem_no::INT AS elem_no, coalesce(p.elem_no, 0)::INT AS parent_no, len(n.path)::INT AS depth
+FROM n LEFT JOIN n p ON p.dump_id = n.dump_id AND p.view_no = n.view_no AND len(n.path) > 0 AND p.path = list_slice(n.path, 1, len(n.path) - 1)"""
+QUALIFIED = "CASE WHEN trim({0}) = '' THEN NULL WHEN contains(trim({0}), '.') THEN trim({0}) ELSE trim(module_name) || '.' || trim({0}) END"
+#: Shortest ways of up to 64 links suffice for the tables the SQL runs on.
+HIERARCHY_SQL = f"""WITH RECURSIVE r AS (SELECT kind AS h, trim(name) AS node, parents FROM core_registry UNION ALL SELECT 'module', trim(name), depends FROM addon_modules
+UNION ALL SELECT 'model', trim(name), regexp_extract_all(inherit_model, '[\\w.]+') FROM addon_models
+UNION ALL SELECT 'menu', {QUALIFIED.format("xml_id")}, [{QUALIFIED.format("parent_xml_id")}] FROM menu_records UNION ALL SELECT 'view', {QUALIFIED.format("xml_id")}, [{QUALIFIED.format("inherit_id")}] FROM view_records),
+nodes AS (SELECT DISTINCT h, node FROM r WHERE node <> ''),
+links AS (SELECT DISTINCT l.h, l.node AS child, l.p AS parent FROM (SELECT h, node, trim(unnest(parents)) AS p FROM r WHERE node <> '') l JOIN nodes n ON n.h = l.h AND n.node = l.p WHERE NOT (l.h = 'model' AND l.node = l.p)),
+up(h, node, anc, depth) AS (SELECT h, node, node, 0 FROM nodes UNION SELECT up.h, up.node, links.parent, up.depth + 1 FROM up JOIN links ON links.h = up.h AND links.child = up.anc WHERE up.depth < 64),
+cyclic AS (SELECT DISTINCT h, node FROM up WHERE node = anc AND depth > 0)
+SELECT h AS hierarchy, node, anc AS root, min(depth)::INT AS depth FROM up WHERE NOT EXISTS (SELECT 1 FROM links WHERE links.h = up.h AND links.child = up.anc) GROUP BY 1, 2, 3
+UNION ALL SELECT DISTINCT up.h, up.node, '', -1 FROM up JOIN cyclic c ON c.h = up.h AND c.node = up.anc"""
 ORACLES = {
+    "p6_found": HIERARCHY_SQL,
+    "p2_found": NESTED_SQL,
     "p7_found": CHANGES_SQL + "SELECT DISTINCT scan_id FROM c",
     "p7_pending": CHANGES_SQL + "SELECT project_name, count(*) AS n_paths FROM c GROUP BY 1",
 }
