@@ -124,7 +124,24 @@ up(h, node, anc, depth) AS (SELECT h, node, node, 0 FROM nodes UNION SELECT up.h
 cyclic AS (SELECT DISTINCT h, node FROM up WHERE node = anc AND depth > 0)
 SELECT h AS hierarchy, node, anc AS root, min(depth)::INT AS depth FROM up WHERE NOT EXISTS (SELECT 1 FROM links WHERE links.h = up.h AND links.child = up.anc) GROUP BY 1, 2, 3
 UNION ALL SELECT DISTINCT up.h, up.node, '', -1 FROM up JOIN cyclic c ON c.h = up.h AND c.node = up.anc"""
+DOTTED_SQL = r"!?\w+(\.\w+)+"
+VALUES_SQL = (
+    r"""list_filter(flatten(list_transform(regexp_extract_all(inner_text, '"(?:[^"\\]|""|\\.)*"|''(?:[^''\\]|\\.)*''|[^,;|\s"''][^,;|\t\r\n]*'), lambda x: CASE
+WHEN x[1] = '"' THEN [trim(replace(replace(substr(x, 2, length(x) - 2), chr(92) || '"', '"'), '""', '"'))] WHEN x[1] = chr(39) THEN [trim(replace(substr(x, 2, length(x) - 2), chr(92) || chr(39), chr(39)))]
+WHEN regexp_full_match(trim(x), '"""
+    + DOTTED_SQL + r"(\s+" + DOTTED_SQL
+    + r""")*') THEN regexp_split_to_array(trim(x), '\s+') ELSE [trim(x)] END)), lambda v: v <> '')"""
+)
+PACKED = (("addon_models", "model_id", "inherit_model"), ("menu_records", "menu_id", "groups"), ("view_element_refs", "ref_id", "button_groups"), ("view_element_refs", "ref_id", "groups_attr"))
+PACKED_SQL = (
+    "WITH raw AS (" + " UNION ALL ".join(rf"SELECT '{t}' AS table_name, {k}::BIGINT AS row_id, '{c}' AS column_name, regexp_replace({c}, '^\s+|\s+$', '', 'g') AS t FROM {t}" for t, k, c in PACKED)
+    + rf"""),
+i AS (SELECT table_name, row_id, column_name, CASE WHEN regexp_full_match(t, '(?s)\[.*\]|\(.*\)') THEN substr(t, 2, length(t) - 2) ELSE t END AS inner_text FROM raw WHERE t IS NOT NULL),
+v AS (SELECT table_name, row_id, column_name, {VALUES_SQL} AS vals FROM i)
+"""
+)
 ORACLES = {
+    "p4_found": PACKED_SQL + "SELECT table_name, row_id, column_name, unnest(range(1, len(vals) + 1))::INT AS pos, unnest(vals) AS val FROM v WHERE len(vals) > 1",
     "p6_found": HIERARCHY_SQL,
     "p2_found": NESTED_SQL,
     "p7_found": CHANGES_SQL + "SELECT DISTINCT scan_id FROM c",
