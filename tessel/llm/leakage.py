@@ -2,8 +2,13 @@
 
 Windows of words are embedded by CGK random walks, which map edit distance to Hamming distance:
 a pointer runs over the window, each step emits the word under it and advances by a random bit of
-(step, word).  Windows that agree on sampled positions of the walk are candidates; several walks
-reach the target recall, and the words of every candidate are verified exactly.
+(step, word).  Windows that agree on sampled positions of the walk are candidates, and the words of
+every candidate are verified exactly.
+
+Where edits are allowed, a word put in or left out moves the rest of a window, so windows of one
+length do not do.  There an item window is cut into one piece more than edits are allowed: some
+piece is left whole, so every document place that holds a piece is a candidate, and the item window
+is aligned with the words around it, gaps at their ends being free.  Recall is 1.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from tessel.session import spread
 
 WORD = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, item_id long, edits int"
+#: Candidates that are aligned at a time.
+ALIGNED = 20_000
 
 
 def words(text: str) -> list[str]:
@@ -31,6 +38,8 @@ class WindowIndex:
     """Item windows of ``width`` words under ``walks`` CGK embeddings, each sampled at ``samples`` positions."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, max_edits: int, walks: int, samples: int, seed: int = 7):
+        if max_edits >= width:
+            raise ValueError("fewer edits than words, please")
         self.width, self.max_edits = width, max_edits
         self.vocabulary: dict[str, int] = {}
         rows, owner = [], []
@@ -47,7 +56,14 @@ class WindowIndex:
         self.sampled = [np.sort(rng.choice(2 * width, min(samples, 2 * width), replace=False)) for _ in range(walks)]
         self.weights = rng.integers(1, 2**62, (walks, steps), dtype=np.int64) | 1
         self.codes = rng.integers(1, 2**62, size + 2, dtype=np.int64)
-        self.tables = []
+        self.tables, self.pieces = [], []
+        if max_edits:
+            ends = [width * k // (max_edits + 1) for k in range(max_edits + 2)]
+            for first, end in zip(ends, ends[1:]):
+                keys = self.grams(self.windows.ravel(), end - first)[first::width][: len(self.windows)]
+                order = np.argsort(keys, kind="stable")
+                self.pieces.append((first, end - first, keys[order], order))
+            return
         for k in range(walks):
             keys = self.keys(self.windows.ravel(), np.arange(len(self.windows)) * width, k)
             order = np.argsort(keys, kind="stable")
@@ -67,6 +83,38 @@ class WindowIndex:
                 pointer += bits[step][now]
         return out
 
+    def grams(self, symbols: np.ndarray, length: int) -> np.ndarray:
+        """The hash of the ``length`` words from each place."""
+        out = np.zeros(max(len(symbols) - length + 1, 0), dtype=np.int64)
+        with np.errstate(over="ignore"):
+            for k in range(length):
+                out = (out ^ self.codes[symbols[k : k + len(out)]]) * self.weights[0, k]
+        return out
+
+    def near(self, symbols: np.ndarray) -> dict[int, int]:
+        """Item -> fewest edits between one of its windows and any run of the text's words."""
+        margin, best = self.max_edits, {}
+        starts, windows = [], []
+        for first, length, keys, order in self.pieces:
+            mine = self.grams(symbols, length)
+            low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            at = np.flatnonzero(low < high)
+            n = high[at] - low[at]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            windows.append(order[np.repeat(low[at], n) + within])
+            starts.append(np.repeat(at - first, n))
+        pairs = np.unique(np.stack([np.concatenate(windows), np.concatenate(starts)]), axis=1) if windows else np.empty((2, 0), dtype=np.int64)
+        # -1 is no word, so nothing beyond the ends of the text is equal to a word of an item
+        padded = np.pad(symbols, self.width + margin, constant_values=-1)
+        reach = np.arange(self.width + 2 * margin) + self.width
+        for k in range(0, pairs.shape[1], ALIGNED):
+            j, start = pairs[:, k : k + ALIGNED]
+            edits = fewest_edits(self.windows[j], padded[start[:, None] + reach])
+            for i in np.flatnonzero(edits <= margin):
+                item = int(self.owner[j[i]])
+                best[item] = min(best.get(item, margin), int(edits[i]))
+        return best
+
     def candidates(self, symbols: np.ndarray) -> Iterator[tuple[int, int]]:
         """Pairs (start in the text, number of item window) that collide under some walk."""
         if len(symbols) < self.width or not len(self.windows):
@@ -87,6 +135,8 @@ class WindowIndex:
         size = len(self.vocabulary)
         get = self.vocabulary.get
         symbols = np.fromiter((get(w, size + 1) for w in words(text)), dtype=np.int64)
+        if self.max_edits:
+            return self.near(symbols)
         best: dict[int, int] = {}
         seen = set()
         for start, j in self.candidates(symbols):
@@ -100,6 +150,18 @@ class WindowIndex:
         return best
 
 
+def fewest_edits(windows: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """For each row: the fewest edits between the window and any run of words of the text."""
+    places = np.arange(texts.shape[1] + 1, dtype=np.int16)
+    row = np.zeros((len(texts), len(places)), dtype=np.int16)
+    for i in range(windows.shape[1]):
+        new = np.full_like(row, i + 1)
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (texts != windows[:, i : i + 1]), out=new[:, 1:])
+        # a run of words put in: the least of all places to the left, one edit a place
+        row = np.minimum.accumulate(new - places, axis=1) + places
+    return row.min(axis=1)
+
+
 def edit_distance(a: list, b: list, most: int) -> int | None:
     """Edits between two lists, None if more than ``most``."""
     if a == b:
@@ -119,8 +181,9 @@ def edit_distance(a: list, b: list, most: int) -> int | None:
 def find_leaks(documents: DataFrame, items: DataFrame, width: int = 13, max_edits: int = 0, walks: int = 1, samples: int = 16, block_items: int = 20_000) -> DataFrame:
     """Rows ``(doc_id, item_id, edits)``: documents with ``width`` consecutive words of an item, up to ``max_edits`` edits.
 
-    With no edits allowed, equal windows always collide and recall is 1; with edits, ``walks`` sets
-    the recall.  Items go to the tasks in blocks of ``block_items`` (a bound on what is broadcast),
+    Recall is 1: with no edits allowed, equal windows always collide; with edits, words changed, left
+    out or put in, every place that holds a whole piece of an item window is aligned with it, and
+    ``walks`` and ``samples`` have no effect.  Items go to the tasks in blocks of ``block_items`` (a bound on what is broadcast),
     all blocks against all documents, so any number of items works; documents are read whole, and
     not shuffled where the input has as many splits as the session has cores.  Null and short texts hold no window; repeated documents each report; items of
     equal text all report.

@@ -219,6 +219,28 @@ def test_near_leaks_recall():
     assert edit_distance([1, 2, 3], [1, 3], 2) == 1 and edit_distance([1, 2], [3, 4], 1) is None
 
 
+def test_near_leaks_equal_brute_force():
+    rng = random.Random(2)
+
+    def edited(passage, kind):
+        w = list(passage)
+        for p in sorted(rng.sample(range(1, len(w) - 1), 2), reverse=True):
+            w[p : p + 1] = {"change": ["other"], "leave out": [], "put in": [w[p], "other"]}[kind]
+        return w
+
+    for kind in ("change", "leave out", "put in"):
+        for _ in range(100):
+            passage = [f"w{rng.randrange(400)}" for _ in range(13)]
+            text = ["x"] * rng.randrange(3) + edited(passage, kind) + ["y"] * rng.randrange(3)
+            assert WindowIndex([(1, " ".join(passage))], 13, 2, 8, 6).find(" ".join(text)).get(1, 9) <= 2, kind
+    # few words, so that many windows come near; runs of all lengths that two edits can reach
+    for _ in range(60):
+        item, text = ([f"w{rng.randrange(3)}" for _ in range(n)] for n in (10, rng.randrange(25)))
+        runs = [text[a : a + n] for a in range(len(text)) for n in range(6, 11)]
+        found = [e for p in range(3) for r in runs if (e := edit_distance(r, item[p : p + 8], 2)) is not None]
+        assert WindowIndex([(1, " ".join(item))], 8, 2, 8, 6).find(" ".join(text)) == ({1: min(found)} if found else {})
+
+
 def test_leak_edges(spark):
     line = "One two THREE four five six seven eight nine ten eleven twelve thirteen fourteen"
     docs = spark.createDataFrame([(1, "x " + line.lower().replace(" ", ", ") + " y", 0), (2, None, 0), (3, "", 0), (4, " ".join(line.split()[:12]), 0), (1, line, 0)], "doc_id long, text string, item_id int")
