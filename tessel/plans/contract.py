@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import text as X
+from tessel.functions.packed import packed_values
 from tessel.operators import diff, fts, graph, paths, upsert
 from tessel.session import table
 
@@ -479,22 +480,59 @@ def inheritance(s: SparkSession, d: str) -> DataFrame:
 MEMBERS_SQL = "mem AS (SELECT DISTINCT lower(trim(model_name)) AS model, lower(trim(method_name)) AS member FROM model_methods)"
 
 
+def model_members(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "model_methods").select(F.lower(F.trim("model_name")).alias("model"), F.lower(F.trim("method_name")).alias("member")).distinct()
+
+
+def inherited_members(s: SparkSession, d: str, edges: DataFrame) -> DataFrame:
+    """Members of a model's ancestors that it does not have itself."""
+    up = graph.closure(edges).where("start <> node").select(F.col("start").alias("model"), F.col("node").alias("inherited_from"))
+    members = model_members(s, d)
+    rows = up.join(members.withColumnRenamed("model", "inherited_from"), "inherited_from").select("model", "member", "inherited_from").distinct()
+    return rows.join(members, ["model", "member"], "left_anti")
+
+
+def overridden_members(s: SparkSession, d: str, edges: DataFrame) -> DataFrame:
+    """A model's members that ancestors have too, with the number of those ancestors."""
+    up = graph.closure(edges).where("start <> node").select(F.col("start").alias("model"), F.col("node").alias("anc"))
+    members = model_members(s, d)
+    theirs = members.withColumnRenamed("model", "anc")
+    return members.join(up, "model").join(theirs, ["anc", "member"]).groupBy("model", "member").agg(F.count_distinct("anc").alias("overrides"))
+
+
 @contract(f"""WITH RECURSIVE {INHERIT_SQL}, {MEMBERS_SQL}, up(src, anc) AS (SELECT src, dst FROM inh UNION SELECT up.src, inh.dst FROM up JOIN inh ON inh.src = up.anc)
 SELECT DISTINCT up.src AS model, mem.member, up.anc AS inherited_from FROM up JOIN mem ON mem.model = up.anc WHERE up.src <> up.anc AND NOT EXISTS (SELECT 1 FROM mem o WHERE o.model = up.src AND o.member = mem.member)""")
 def q_closure_members(s, d):
-    up = graph.closure(inheritance(s, d)).where("start <> node").select(F.col("start").alias("model"), F.col("node").alias("inherited_from"))
-    members = table(s, d, "model_methods").select(F.lower(F.trim("model_name")).alias("m"), F.lower(F.trim("method_name")).alias("member")).distinct()
-    rows = up.join(members, F.col("inherited_from") == F.col("m")).select("model", "member", "inherited_from").distinct()
-    return rows.join(members.select(F.col("m").alias("model"), "member"), ["model", "member"], "left_anti")
+    return inherited_members(s, d, inheritance(s, d))
 
 
 @contract(f"""WITH RECURSIVE {INHERIT_SQL}, {MEMBERS_SQL}, up(src, anc) AS (SELECT src, dst FROM inh UNION SELECT up.src, inh.dst FROM up JOIN inh ON inh.src = up.anc)
 SELECT o.model, o.member, count(DISTINCT up.anc) AS overrides FROM mem o JOIN up ON up.src = o.model JOIN mem a ON a.model = up.anc AND a.member = o.member WHERE up.src <> up.anc GROUP BY 1, 2""")
 def q_override_detect(s, d):
-    up = graph.closure(inheritance(s, d)).where("start <> node").select(F.col("start").alias("model"), F.col("node").alias("anc"))
-    members = table(s, d, "model_methods").select(F.lower(F.trim("model_name")).alias("model"), F.lower(F.trim("method_name")).alias("member")).distinct()
-    theirs = members.select(F.col("model").alias("anc"), "member")
-    return members.join(up, "model").join(theirs, ["anc", "member"]).groupBy("model", "member").agg(F.count_distinct("anc").alias("overrides"))
+    return overridden_members(s, d, inheritance(s, d))
+
+
+# The two queries above and their SQL see fields with one plain name only; these two see all names of a field.
+
+ALL_INHERIT_SQL = """inh AS (SELECT DISTINCT src, dst FROM (SELECT trim(name) AS src, unnest(regexp_extract_all(inherit_model, '[\\w.]+')) AS dst FROM addon_models) WHERE src <> dst)"""
+
+
+def all_inheritance(s: SparkSession, d: str) -> DataFrame:
+    """Child-parent edges over models, self-links dropped, from every name the fields hold."""
+    rows = table(s, d, "addon_models").select(F.trim("name").alias("src"), F.explode(packed_values(F.col("inherit_model"))).alias("dst"))
+    return rows.where(F.col("src") != F.col("dst")).distinct()
+
+
+@contract(f"""WITH RECURSIVE {ALL_INHERIT_SQL}, {MEMBERS_SQL}, up(src, anc) AS (SELECT src, dst FROM inh UNION SELECT up.src, inh.dst FROM up JOIN inh ON inh.src = up.anc)
+SELECT DISTINCT up.src AS model, mem.member, up.anc AS inherited_from FROM up JOIN mem ON mem.model = up.anc WHERE up.src <> up.anc AND NOT EXISTS (SELECT 1 FROM mem o WHERE o.model = up.src AND o.member = mem.member)""")
+def q_closure_members_all(s, d):
+    return inherited_members(s, d, all_inheritance(s, d))
+
+
+@contract(f"""WITH RECURSIVE {ALL_INHERIT_SQL}, {MEMBERS_SQL}, up(src, anc) AS (SELECT src, dst FROM inh UNION SELECT up.src, inh.dst FROM up JOIN inh ON inh.src = up.anc)
+SELECT o.model, o.member, count(DISTINCT up.anc) AS overrides FROM mem o JOIN up ON up.src = o.model JOIN mem a ON a.model = up.anc AND a.member = o.member WHERE up.src <> up.anc GROUP BY 1, 2""")
+def q_override_detect_all(s, d):
+    return overridden_members(s, d, all_inheritance(s, d))
 
 
 FIELD_TABLE = [("lineitem", "order", "orders", "many2one"), ("lineitem", "qty", None, "float"), ("orders", "customer", "customer", "many2one"), ("customer", "nation", "nation", "many2one"), ("nation", "name", None, "char")]

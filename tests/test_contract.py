@@ -59,6 +59,16 @@ def test_bfs_against_python(spark):
     assert [r.node for r in nodes.collect()] == ["n0"] and all(r.src == "n0" for r in kept.collect())
 
 
+def test_members_through_packed_parents(spark, tmp_path):
+    models = [("child", '"mid.one", mid.two'), ("mid.one", "['root.a']"), ("mid.two", "root.b\nroot.c")]
+    spark.createDataFrame(models, "name string, inherit_model string").write.parquet(f"{tmp_path}/addon_models.parquet")
+    methods = [("root.a", "f"), ("root.b", "g"), ("Root.C ", "h"), ("child", "g")]
+    spark.createDataFrame(methods, "model_name string, method_name string").write.parquet(f"{tmp_path}/model_methods.parquet")
+    got = {(r.model, r.member, r.inherited_from) for r in contract.q_closure_members_all(spark, str(tmp_path)).collect()}
+    assert got == {("child", "f", "root.a"), ("child", "h", "root.c"), ("mid.one", "f", "root.a"), ("mid.two", "g", "root.b"), ("mid.two", "h", "root.c")}
+    assert [tuple(r) for r in contract.q_override_detect_all(spark, str(tmp_path)).select("model", "member", "overrides").collect()] == [("child", "g", 1)]
+
+
 def test_longest_prefix(spark):
     items = spark.createDataFrame([("/a/b/c",), ("/a/bb",), ("/x",), (None,)], "p string")
     roots = spark.createDataFrame([("/a",), ("/a/b",)], "r string")
