@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessel.llm.labels import label_files
 from tessel.llm.leakage import find_leaks
 from tessel.llm.packing import pack, token_count
-from tessel.llm.spans import classes, find_pairs, representatives, shared_pairs, shared_spans, shares
+from tessel.llm.spans import classes, document_shares, document_spans, find_pairs, representatives, shared_pairs, shared_spans
 from tessel.llm.survivors import model_key, module_key, name_key, survivors
 from tessel.llm.wellformed import check_files, failure_rates
 from tessel.session import cut, table
@@ -79,17 +79,26 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return find_pairs(table(spark, d, "documents"))
 
 
-def p10_shares(spark: SparkSession, d: str) -> DataFrame:
-    """How much of each class of equal texts is found in texts of other classes, and how many copies it has."""
-    documents = table(spark, d, "documents")
+def class_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal texts: their members, their representatives and the spans these share with other classes."""
     members = cut(classes(documents))
     one = representatives(documents, members)
-    rows = shares(one, shared_spans(one, cut(shared_pairs(documents, members))))
-    copies = members.groupBy(F.col("class_id").alias("doc_id")).agg(F.count("*").alias("n_copies"))
-    return rows.join(copies, "doc_id")
+    return members, one, shared_spans(one, cut(shared_pairs(documents, members)))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document's text is found in other documents, its class of equal texts and how many these are."""
+    documents = table(spark, d, "documents")
+    return document_shares(documents, *class_spans(documents))
+
+
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The maximal stretches of each document's text that other documents hold, these by their class of equal texts."""
+    documents = table(spark, d, "documents")
+    return document_spans(documents, *class_spans(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_labels, p5_found, p5_records, p8_found, p8_containers, p9_found, p9_near, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_labels, p5_found, p5_records, p8_found, p8_containers, p9_found, p9_near, p10_found, p10_shares, p10_spans)}
 
 KEYS = """
   replace(lower(trim(model_name)), '_', '.') AS k1, lower(trim({member})) AS k2,

@@ -291,3 +291,39 @@ def shares(documents: DataFrame, spans: DataFrame) -> DataFrame:
     sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
     joined = sizes.join(sums, "doc_id", "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
     return joined.withColumn("share", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(0.0))
+
+
+def _class_sizes(documents: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """``(class_id, n_copies, n_chars, copied)``: copied tells that the whole text is a span that other members hold."""
+    sizes = documents.select(F.col("doc_id").cast("long").alias("class_id"), F.length("text").alias("n_chars"))
+    rows = members.groupBy("class_id").agg(F.count("*").alias("n_copies")).join(sizes, "class_id")
+    return rows.withColumn("copied", (F.col("n_copies") > 1) & (F.col("n_chars") >= least))
+
+
+def document_shares(documents: DataFrame, members: DataFrame, one: DataFrame, spans: DataFrame, least: int = 300) -> DataFrame:
+    """``(doc_id, class_id, n_chars, shared_chars, share, n_copies)``, one row per document.
+
+    ``spans`` are those between the representatives ``one``.  A text of at least the least length
+    that has equal copies is found elsewhere as a whole.  A null text shares nothing and is the
+    only one of its class.
+    """
+    sizes = _class_sizes(documents, members, least).select("class_id", "n_copies", "copied")
+    of = shares(one, spans).withColumnRenamed("doc_id", "class_id").join(sizes, "class_id")
+    shared, share = F.when(F.col("copied"), F.col("n_chars")), F.when(F.col("copied"), 1.0)
+    of = of.select("class_id", "n_chars", F.coalesce(shared, "shared_chars").alias("shared_chars"), F.coalesce(share, "share").alias("share"), "n_copies")
+    rows = members.join(of, "class_id").select("doc_id", "class_id", "n_chars", "shared_chars", "share", "n_copies")
+    nulls = documents.where("text is null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    empty = {"class_id": F.col("doc_id"), "n_chars": F.lit(0), "shared_chars": F.lit(0).cast("long"), "share": F.lit(0.0), "n_copies": F.lit(1).cast("long")}
+    return rows.unionByName(nulls.select("doc_id", *(c.alias(name) for name, c in empty.items())))
+
+
+def document_spans(documents: DataFrame, members: DataFrame, one: DataFrame, spans: DataFrame, least: int = 300) -> DataFrame:
+    """``(doc_id, class_id, other_class_id, start, end)``: the maximal spans of each document that the texts of a class hold.
+
+    The other class is the document's own where other members hold its whole text.  Every class
+    that another one shares a span with, or that has copies, has rows for all its members, so the
+    rows tell which documents hold a span without listing every pair of them.
+    """
+    across = spans.select(F.col("doc_id").alias("class_id"), F.col("other_id").alias("other_class_id"), "start", "end")
+    whole = _class_sizes(documents, members, least).where("copied").select("class_id", F.col("class_id").alias("other_class_id"), F.lit(0).alias("start"), F.col("n_chars").alias("end"))
+    return members.join(across.unionByName(whole), "class_id").select("doc_id", "class_id", "other_class_id", "start", "end")

@@ -286,3 +286,17 @@ def test_automaton_and_shares(spark):
     pairs = spark.createDataFrame([(1, 2)], "doc_id_1 long, doc_id_2 long")
     got = {r.doc_id: (r.shared_chars, r.share) for r in shares(docs, shared_spans(docs, pairs, 6)).collect()}
     assert got == {1: (8, 0.615385), 2: (8, 0.5), 3: (0, 0.0)}
+
+
+def test_shares_and_spans_of_every_document(spark, tmp_path):
+    rng = random.Random(5)
+    a, b, c = ("".join(rng.choices("abcdefgh ", k=n)) for n in (400, 350, 500))
+    texts = {1: a, 2: a, 3: a, 4: b, 5: c + b, 6: "short", 7: "short", 8: None, 9: c, 10: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.class_id, r.n_chars, r.shared_chars, r.share, r.n_copies) for r in q.p10_shares(spark, str(tmp_path)).collect()}
+    copies = {i: (1, 400, 400, 1.0, 3) for i in (1, 2, 3)}
+    small = {6: (6, 5, 0, 0.0, 2), 7: (6, 5, 0, 0.0, 2), 8: (8, 0, 0, 0.0, 1), 10: (10, 0, 0, 0.0, 1)}
+    assert got == copies | small | {4: (4, 350, 350, 1.0, 1), 5: (5, 850, 850, 1.0, 1), 9: (9, 500, 500, 1.0, 1)}
+    spans = {(r.doc_id, r.class_id, r.other_class_id, r.start, r.end) for r in q.p10_spans(spark, str(tmp_path)).collect()}
+    across = {(4, 4, 5, 0, 350), (5, 5, 4, 500, 850), (5, 5, 9, 0, 500), (9, 9, 5, 0, 500)}
+    assert {s[:3] for s in spans} == {s[:3] for s in across} | {(i, 1, 1) for i in (1, 2, 3)} and spans == across | {(i, 1, 1, 0, 400) for i in (1, 2, 3)}
