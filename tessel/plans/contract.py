@@ -59,6 +59,18 @@ def q_merge_partial(s, d):
     return upsert.merge_partial(old, new, ["k"])
 
 
+# q_merge_partial, q_change_set and q_state_merge, and their SQL, run on parts of the tables; the queries named _whole on whole ones.
+
+
+@contract("""SELECT coalesce(n.k, o.k) AS k, coalesce(n.amount, o.amount) AS amount, o.segment AS segment, n.orders AS orders
+FROM (SELECT c_custkey AS k, c_acctbal AS amount, c_mktsegment AS segment FROM customer) o
+FULL OUTER JOIN (SELECT o_custkey AS k, max(o_totalprice) AS amount, count(*) AS orders FROM orders GROUP BY 1) n ON o.k = n.k""")
+def q_merge_partial_whole(s, d):
+    old = table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("segment"))
+    new = table(s, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("amount"), n("orders"))
+    return upsert.merge_partial(old, new, ["k"])
+
+
 @contract("""SELECT p_partkey, coalesce(l.price, p_retailprice) AS p_retailprice FROM part LEFT JOIN
 (SELECT l_partkey, max(l_extendedprice) AS price FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON p_partkey = l_partkey""")
 def q_update_coalesce(s, d):
@@ -102,6 +114,23 @@ def q_change_set(s, d):
     return diff.change_set(hashes(files.where("seq < 5")), hashes(files), "module_name")
 
 
+@contract("""WITH w AS (SELECT project_name, max(cutoff_at) AS w FROM index_results WHERE finished_at IS NOT NULL GROUP BY 1),
+s AS (SELECT *, project_name || ':' || coalesce(module_name, path) AS m FROM module_scans WHERE project_name IS NOT NULL),
+c AS (SELECT m, md5(string_agg(scan_id || ':' || md5(module_hash), chr(10) ORDER BY scan_id)) AS h FROM s GROUP BY 1),
+o AS (SELECT m, md5(string_agg(scan_id || ':' || md5(module_hash), chr(10) ORDER BY scan_id)) AS h FROM s JOIN w ON w.project_name = s.project_name WHERE arrived_at <= w GROUP BY 1)
+SELECT coalesce(o.m, c.m) AS module, CASE WHEN o.m IS NULL THEN 'new' WHEN c.m IS NULL THEN 'deleted' WHEN o.h = c.h THEN 'unchanged' ELSE 'changed' END AS state FROM o FULL OUTER JOIN c ON o.m = c.m""")
+def q_change_set_whole(s, d):
+    """Modules of each project by the scans that had arrived by its last finished run's cutoff and those there are."""
+    module = F.concat("project_name", F.lit(":"), F.coalesce("module_name", "path"))
+    scans = table(s, d, "module_scans").where("project_name is not null").withColumn("module", module)
+    last = table(s, d, "index_results").where("finished_at is not null").groupBy("project_name").agg(F.max("cutoff_at").alias("w"))
+
+    def hashes(rows: DataFrame) -> DataFrame:
+        return diff.group_hash(rows, "module", F.col("scan_id"), F.col("module_hash"))
+
+    return diff.change_set(hashes(scans.join(last, "project_name").where("arrived_at <= w")), hashes(scans), "module")
+
+
 # ---- joins
 
 
@@ -391,6 +420,18 @@ def q_state_merge(s, d):
     return both.select("user_id", F.array_join(F.array_sort(F.array_union(F.coalesce("a", empty), F.coalesce("b", empty))), ",").alias("states"))
 
 
+@contract("""SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS states FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1""")
+def q_state_merge_whole(s, d):
+    """The machines of events of high value and of all others, merged."""
+
+    def machine(where: str, name: str) -> DataFrame:
+        return table(s, d, "events").where(where).groupBy("user_id").agg(F.collect_set("event_type").alias(name))
+
+    empty = F.array().cast("array<string>")
+    both = machine("(value > 20) is not true", "a").join(machine("value > 20", "b"), "user_id", "full_outer")
+    return both.select("user_id", F.array_join(F.array_sort(F.array_union(F.coalesce("a", empty), F.coalesce("b", empty))), ",").alias("states"))
+
+
 @contract("""SELECT m.model_name, m.method_name, min(r.ref_id) AS button FROM (SELECT DISTINCT model_name, method_name FROM model_methods) m
 LEFT JOIN (SELECT ref_id, button_name FROM view_element_refs WHERE element_type = 'button') r ON r.button_name = m.method_name GROUP BY 1, 2""")
 def q_state_buttons(s, d):

@@ -69,6 +69,21 @@ def test_members_through_packed_parents(spark, tmp_path):
     assert [tuple(r) for r in contract.q_override_detect_all(spark, str(tmp_path)).select("model", "member", "overrides").collect()] == [("child", "g", 1)]
 
 
+def test_whole_tables_take_part(spark, tmp_path):
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("customer", [(3, 1.0, "A"), (6, 2.0, "B")], "c_custkey long, c_acctbal double, c_mktsegment string")
+    write("orders", [(3, 9.0)], "o_custkey long, o_totalprice double")
+    assert {tuple(r) for r in contract.q_merge_partial_whole(spark, str(tmp_path)).select("k", "amount", "segment", "orders").collect()} == {(3, 9.0, "A", 1), (6, 2.0, "B", None)}
+    write("events", [(1, 1, "low", 5.0), (2, 1, "high", 30.0), (3, 2, "none", None)], "event_id long, user_id long, event_type string, value double")
+    assert {tuple(r) for r in contract.q_state_merge_whole(spark, str(tmp_path)).select("user_id", "states").collect()} == {(1, "high,low"), (2, "none")}
+    scans = [(1, "p", "a", "/a", "x", 1), (2, "p", None, "/b", "x", 1), (3, "p", "a", "/a", "y", 5), (4, "p", "c", "/c", "z", 6), (5, "q", "a", "/a", "x", 1)]
+    write("module_scans", scans, "scan_id long, project_name string, module_name string, path string, module_hash string, arrived_at long")
+    write("index_results", [("p", 2, 3), ("p", 7, None), ("q", 9, None)], "project_name string, cutoff_at long, finished_at long")
+    assert {tuple(r) for r in contract.q_change_set_whole(spark, str(tmp_path)).select("module", "state").collect()} == {("p:a", "changed"), ("p:/b", "unchanged"), ("p:c", "new"), ("q:a", "new")}
+
+
 def test_longest_prefix(spark):
     items = spark.createDataFrame([("/a/b/c",), ("/a/bb",), ("/x",), (None,)], "p string")
     roots = spark.createDataFrame([("/a",), ("/a/b",)], "r string")
