@@ -44,14 +44,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving method of each group, put together field by field."""
-    methods = table(spark, d, "model_methods")
-    parts = [model_key(F.col("model_name")), name_key(F.col("method_name")), module_key(F.col("module_name"), F.col("file_path"))]
-    rows = survivors(methods, "method_id", parts, METHODS, "indexed_at", "model_methods")
-    wide = rows.groupBy("group_id").agg(*(F.max(F.when(F.col("column_name") == c, F.col("row_id"))).alias(f"from_{c}") for c in METHODS))
-    for c in METHODS:
-        wide = wide.join(methods.select(F.col("method_id").alias(f"from_{c}"), F.col(c)), f"from_{c}", "left")
-    return wide.select("group_id", *METHODS)
+    """The surviving method or field of each group, put together field by field, with the names the group agrees on."""
+
+    def of(name: str, key: str, member: str, columns: tuple[str, ...]) -> DataFrame:
+        rows = table(spark, d, name)
+        parts = [model_key(F.col("model_name")), name_key(F.col(member)), module_key(F.col("module_name"), F.col("file_path"))]
+        found = survivors(rows, key, parts, columns, "indexed_at", name)
+        wide = found.groupBy("group_id").agg(*(F.max(F.when(F.col("column_name") == c, F.col("row_id"))).alias(f"from_{c}") for c in columns))
+        for c in columns:
+            wide = wide.join(rows.select(F.col(key).alias(f"from_{c}"), F.col(c)), f"from_{c}", "left")
+        names = rows.select(F.col(key).alias("group_id"), *(k.alias(n) for k, n in zip(parts, ("model", "member", "module"))))
+        texts = (F.col(c) if c in columns else F.lit(None).cast("string").alias(c) for c in METHODS + FIELDS)
+        return wide.join(names, "group_id").select(F.lit(name).alias("table_name"), "group_id", "model", "member", "module", *texts)
+
+    return of("model_methods", "method_id", "method_name", METHODS).unionByName(of("model_fields", "field_id", "field_name", FIELDS))
 
 
 def packed(spark: SparkSession, d: str) -> DataFrame:

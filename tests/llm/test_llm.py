@@ -300,3 +300,15 @@ def test_shares_and_spans_of_every_document(spark, tmp_path):
     spans = {(r.doc_id, r.class_id, r.other_class_id, r.start, r.end) for r in q.p10_spans(spark, str(tmp_path)).collect()}
     across = {(4, 4, 5, 0, 350), (5, 5, 4, 500, 850), (5, 5, 9, 0, 500), (9, 9, 5, 0, 500)}
     assert {s[:3] for s in spans} == {s[:3] for s in across} | {(i, 1, 1) for i in (1, 2, 3)} and spans == across | {(i, 1, 1, 0, 400) for i in (1, 2, 3)}
+
+
+def test_records_of_both_tables(spark, tmp_path):
+    at = "model_name string, module_name string, file_path string, indexed_at long"
+    methods = [(1, "f", "a", None, "Sale_order", "m", None, 1), (2, "F ", "b", "t", "sale.order", None, "/srv/p/r/m/x.py", 2), (3, "g", "a", "t", "sale.order", "m", None, 1)]
+    fields = [(1, "x", "old", "help", "a.b", "m", None, 1), (4, "X", "new", " ", "a.b", "M", None, 2)]
+    spark.createDataFrame(methods, f"method_id long, method_name string, calls_models string, state_transitions string, {at}").write.parquet(f"{tmp_path}/model_methods.parquet")
+    spark.createDataFrame(fields, f"field_id long, field_name string, string_label string, help_text string, {at}").write.parquet(f"{tmp_path}/model_fields.parquet")
+    assert {tuple(r) for r in q.p5_records(spark, str(tmp_path)).collect()} == {
+        ("model_methods", 1, "sale.order", "f", "m", "b", "t", None, None),
+        ("model_fields", 1, "a.b", "x", "m", None, None, "new", "help"),
+    }
