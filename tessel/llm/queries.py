@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessel.llm.labels import label_files
 from tessel.llm.leakage import find_leaks
 from tessel.llm.packing import pack, token_count
-from tessel.llm.spans import classes, document_shares, document_spans, find_pairs, representatives, shared_pairs, shared_spans
+from tessel.llm.spans import classes, document_shares, document_spans, find_pairs, shared_spans
 from tessel.llm.survivors import model_key, module_key, name_key, survivors
 from tessel.llm.wellformed import check_files, failure_rates
 from tessel.session import cut, table
@@ -85,23 +85,18 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return find_pairs(table(spark, d, "documents"))
 
 
-def class_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of equal texts: their members, their representatives and the spans these share with other classes."""
-    members = cut(classes(documents))
-    one = representatives(documents, members)
-    return members, one, shared_spans(one, cut(shared_pairs(documents, members)))
-
-
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     """How much of each document's text is found in other documents, its class of equal texts and how many these are."""
     documents = table(spark, d, "documents")
-    return document_shares(documents, *class_spans(documents))
+    members = cut(classes(documents))
+    return document_shares(documents, members, shared_spans(documents, members))
 
 
 def p10_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The maximal stretches of each document's text that other documents hold, these by their class of equal texts."""
+    """The stretches of each document's text that other documents hold, with the smallest other class that holds them."""
     documents = table(spark, d, "documents")
-    return document_spans(documents, *class_spans(documents))
+    members = cut(classes(documents))
+    return document_spans(members, shared_spans(documents, members))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_labels, p5_found, p5_records, p8_found, p8_containers, p9_found, p9_near, p10_found, p10_shares, p10_spans)}
@@ -125,7 +120,22 @@ def _survivors_sql(name: str, key: str, member: str, columns: tuple[str, ...]) -
     return "\nUNION ALL\n".join(parts)
 
 
+#: Windows of 300 characters of the representatives, and of each one that others hold too: the smallest other class, for the smallest itself the largest.
+SPANS_SQL = """WITH c AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_copies, length(text) AS n_chars FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, p, md5(substr(text, p + 1, 300)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS p FROM c WHERE doc_id = class_id)),
+e AS (SELECT h, min((doc_id, p)) AS a, max((doc_id, -p)) AS b FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT g.doc_id, g.p, CASE WHEN g.doc_id = a[1] THEN b[1] ELSE a[1] END AS other, CASE WHEN g.doc_id = a[1] THEN -b[2] ELSE a[2] END - g.p AS shift FROM g JOIN e USING (h)),
+r AS (SELECT doc_id, other, min(p) AS s, max(p) + 300 AS e FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY p) AS run FROM s) GROUP BY doc_id, other, shift, run)
+"""
+
 ORACLES = {
+    "p10_shares": SPANS_SQL + """, k AS (SELECT doc_id AS class_id, sum(greatest(e - greatest(s, coalesce(before, 0)), 0))::BIGINT AS shared FROM
+(SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) GROUP BY 1),
+m AS (SELECT c.doc_id, c.class_id, n_chars::INT AS n_chars, CASE WHEN n_copies > 1 AND n_chars >= 300 THEN n_chars ELSE coalesce(shared, 0) END AS shared_chars, n_copies FROM c LEFT JOIN k USING (class_id))
+SELECT doc_id, class_id, n_chars, shared_chars, CASE WHEN n_chars > 0 THEN round(shared_chars / n_chars, 6) ELSE 0 END AS share, n_copies FROM m
+UNION ALL SELECT doc_id, doc_id, 0, 0, 0, 1 FROM documents WHERE text IS NULL""",
+    "p10_spans": SPANS_SQL + """SELECT c.doc_id, c.class_id, x.other AS other_class_id, x.s::INT AS start, x.e::INT AS "end" FROM c JOIN
+(SELECT doc_id AS class_id, other, s, e FROM r UNION ALL SELECT DISTINCT class_id, class_id, 0, n_chars FROM c WHERE n_copies > 1 AND n_chars >= 300) x USING (class_id)""",
     "p10_found": """WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, p, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS p FROM documents))
 SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id""",
     "p5_found": _survivors_sql("model_methods", "method_id", "method_name", METHODS) + "\nUNION ALL\n" + _survivors_sql("model_fields", "field_id", "field_name", FIELDS),

@@ -2,11 +2,11 @@
 
 Records that share a span of the least length share an anchor: winnowing keeps, of every run of
 grams, the one with the smallest hash, so each window of the least length holds a kept gram that
-depends on the window's text only.  Anchors route records to reference shards; in a shard the
-suffix automaton of each reference's surroundings is built and the other records' are streamed
-through it, and their matching statistics tell the longest common span.  Anchors shared by many
-records are refined to grams of the full least length before they meet, so boilerplate that is
-shorter than that never makes pairs.
+depends on the window's text only.  Around shared anchors every window of the least length is
+hashed, and equal windows route their records to a reference shard: the suffix automaton of the
+shard's reference is built, the other records' stretches are streamed through it, and their
+matching statistics decide.  The steps are the same for a stretch that two records hold and for one
+that a third of them holds; boilerplate shorter than the least length never meets.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.session import cut, spread
 
 BASE = 0x9E3779B97F4A7C15
-SHARD = 64
+#: Records of a shard that meet in a task, at most about so many by so many.
+BLOCK = 512
 
 
 def _inverse_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,14 +155,14 @@ class SuffixAutomaton:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """``(doc_id, class_id)``: documents of equal text share the smallest id."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("h")).where("doc_id is not null and h is not null")
-    return rows.join(rows.groupBy("h").agg(F.min("doc_id").alias("class_id")), "h").select("doc_id", "class_id")
+    """``(doc_id, class_id, n_chars)``: documents of equal text share the smallest id."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n_chars"), F.unhex(F.sha2("text", 256)).alias("h")).where("doc_id is not null and h is not null")
+    return rows.join(rows.groupBy("h").agg(F.min("doc_id").alias("class_id")), "h").dropDuplicates(["h", "doc_id"]).select("doc_id", "class_id", "n_chars")
 
 
 def anchors(documents: DataFrame, least: int = 300) -> DataFrame:
-    """``(doc_id, h, pos)``: the winnowed grams of half the least length."""
-    gram = least // 2
+    """``(doc_id, h, pos)``: the winnowed grams of two thirds of the least length."""
+    gram = anchor_length(least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams()
@@ -180,150 +181,215 @@ def anchors(documents: DataFrame, least: int = 300) -> DataFrame:
     return spread(rows).mapInPandas(run, "doc_id long, h long, pos int")
 
 
-def _surroundings(documents: DataFrame, shared: DataFrame, least: int) -> DataFrame:
-    """``(h, doc_id, n, around)``: the text around each shared anchor that a span of the least length can reach."""
-    gram = least // 2
-    reach = least - gram
-    lists = shared.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos", "n")).alias("marks"))
+def anchor_length(least: int) -> int:
+    return max(1, least * 2 // 3)
+
+
+def sharing_texts(documents: DataFrame, members: DataFrame, least: int = 300) -> DataFrame:
+    """``(doc_id, text, marks)``: representatives with anchors that others have too, and where these are."""
+    ids = members.where((F.col("doc_id") == F.col("class_id")) & (F.col("n_chars") >= least)).select("doc_id")
+    marks = cut(anchors(documents, least).join(ids, "doc_id", "left_semi"))
+    groups = marks.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    places = marks.join(groups, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
     texts = documents.where(F.length("text") >= least).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(lists, "doc_id").select("doc_id", "text", F.explode("marks").alias("m"))
-    start = F.greatest(F.col("m.pos") - reach, F.lit(0))
-    return rows.select("doc_id", "m.h", "m.n", F.substr("text", start + 1, F.col("m.pos") + gram + reach - start).alias("around"))
+    return cut(texts.join(places, "doc_id").dropDuplicates(["doc_id"]))
 
 
-def shared_pairs(documents: DataFrame, members: DataFrame, least: int = 300) -> DataFrame:
-    """Distinct ``(doc_id_1, doc_id_2)`` of class representatives whose texts share a span of the least length.
+def windows(sharing: DataFrame, least: int = 300) -> DataFrame:
+    """``(doc_id, start, g, before)``: every stretch of the least length around a shared anchor, and the character before it (-1 for none)."""
+    reach = least - anchor_length(least)
 
-    Anchors are taken where the texts are read and only then joined with the representatives, so
-    that this step moves no text.  Null and short texts share nothing.
-    """
-    ids = members.where("doc_id = class_id").select("doc_id")
-    marks = cut(anchors(documents, least).join(ids, "doc_id", "left_semi"))
-    groups = marks.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "n")
-    around = cut(_surroundings(documents, marks.join(groups, "h"), least))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["doc_id"], pdf["around"]))
-        out = set()
-        for i, (a, text) in enumerate(rows):
-            automaton = None
-            for b, other in rows[i + 1 :]:
-                pair = (a, b) if a < b else (b, a)
-                if a != b and pair not in out:
-                    automaton = automaton or SuffixAutomaton(text)
-                    if automaton.shares(other, least):
-                        out.add(pair)
-        return pd.DataFrame(list(out), columns=["doc_id_1", "doc_id_2"])
-
-    small = around.where(F.col("n") <= SHARD).select("h", "doc_id", "around").groupBy("h").applyInPandas(meet, "doc_id_1 long, doc_id_2 long")
-
-    def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams()
         for batch in batches:
-            hashes = [np.unique(grams(text, least)) for text in batch["around"]]
-            if hashes:
-                yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), [len(h) for h in hashes]), "g": np.concatenate(hashes)})
+            for doc, text, marks in zip(batch["doc_id"], batch["text"], batch["marks"]):
+                g = grams(text, least)
+                wanted = np.zeros(len(g) + 1, dtype=np.int32)
+                pos = np.asarray(marks, dtype=np.int64)
+                np.add.at(wanted, np.clip(pos - reach, 0, len(g)), 1)
+                np.add.at(wanted, np.clip(pos + 1, 0, len(g)), -1)
+                at = np.flatnonzero(np.cumsum(wanted[:-1]))
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int32)
+                yield pd.DataFrame({"doc_id": np.full(len(at), doc), "start": at.astype(np.int32), "g": g[at], "before": np.where(at > 0, codes[at - 1], -1).astype(np.int32)})
+
+    return sharing.mapInPandas(run, "doc_id long, start int, g long, before int")
+
+
+def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of batches that are sorted by the keys, each whole."""
+    held = None
+    for batch in batches:
+        batch = batch if held is None else pd.concat([held, batch])
+        if len(batch):
+            starts = np.flatnonzero((batch[keys] != batch[keys].shift()).any(axis=1).to_numpy())
+            for a, b in zip(starts, starts[1:]):
+                yield batch.iloc[a:b]
+            held = batch.iloc[starts[-1] :]
+    if held is not None:
+        yield held
+
+
+def in_blocks(rows: DataFrame, n: str, member: str) -> DataFrame:
+    """Rows of groups of ``n`` with their ``block``, once per pair of blocks ``(lo, hi)``: what meets in a task is bounded."""
+    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
+    own = rows.withColumn("block", F.pmod(F.xxhash64(member), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return own.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
+
+
+def same_stretch(texts: list[str], least: int) -> list[int]:
+    """A number for each text; equal ones share a stretch of the least length, by the automaton of the first of them."""
+    number: dict[str, int] = {}
+    references: list[SuffixAutomaton] = []
+    for text in texts:
+        if text in number:
+            continue
+        for k, automaton in enumerate(references):
+            if automaton.shares(text, least):
+                number[text] = k
+                break
+        else:
+            number[text] = len(references)
+            references.append(SuffixAutomaton(text))
+    return [number[t] for t in texts]
 
-    large = around.where(F.col("n") > SHARD)
-    fine = large.select("doc_id", "around").mapInPandas(refine, "doc_id long, g long").distinct()
-    # a run of overlapping full grams with the same holders counts once, by the holders' digest
-    held = fine.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("digest")).where("n > 1")
-    one = held.groupBy("n", "digest").agg(F.min("g").alias("g")).select("g")
-    members = fine.join(one, "g")
-    left = members.select("g", F.col("doc_id").alias("doc_id_1"))
-    right = members.select("g", F.col("doc_id").alias("doc_id_2"))
-    hot = left.join(right, "g").where("doc_id_1 < doc_id_2").select("doc_id_1", "doc_id_2")
-    return small.unionByName(hot).distinct()
 
+def shared_pairs(documents: DataFrame, members: DataFrame, least: int = 300) -> DataFrame:
+    """Distinct ``(doc_id_1, doc_id_2)`` of class representatives whose texts share a span of the least length.
 
-def expand_pairs(pairs: DataFrame, members: DataFrame, documents: DataFrame, least: int = 300) -> DataFrame:
+    A pair meets where its common span begins: at the window whose characters before it differ or
+    are missing, so neither a long span nor text that all its holders share on makes it meet again.
+    The window's holders form a reference shard; those that the automaton of the shard's reference
+    finds in it, by matching statistics of the least length, are paired.  Shards of any size go to
+    the tasks in pairs of blocks.  Null and short texts share nothing.
+    """
+    sharing = sharing_texts(documents, members, least)
+    rows = cut(windows(sharing, least))
+    held = rows.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("before").alias("low"), F.max("before").alias("high"), F.count("*").alias("n")).where("a < b and (low < high or low < 0)").select("g", "n")
+    begun = in_blocks(rows.join(held, "g"), "n", "doc_id")
+    texts = begun.join(sharing.select("doc_id", "text"), "doc_id").select("g", "lo", "hi", "block", "doc_id", "before", F.substr("text", F.col("start") + 1, F.lit(least)).alias("stretch"))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for shard in grouped(batches, ["g", "lo", "hi"]):
+            number = np.array(same_stretch(shard["stretch"].tolist(), least))
+            doc, before, block = (shard[c].to_numpy() for c in ("doc_id", "before", "block"))
+            i, j = np.triu_indices(len(shard), 1)
+            keep = (number[i] == number[j]) & (doc[i] != doc[j]) & ((before[i] != before[j]) | (before[i] < 0))
+            if shard["lo"].iat[0] != shard["hi"].iat[0]:
+                keep &= block[i] != block[j]
+            i, j = i[keep], j[keep]
+            if len(i):
+                yield pd.DataFrame({"doc_id_1": np.minimum(doc[i], doc[j]), "doc_id_2": np.maximum(doc[i], doc[j])}).drop_duplicates()
+
+    shards = texts.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+    return shards.mapInPandas(meet, "doc_id_1 long, doc_id_2 long").distinct()
+
+
+def expand_pairs(pairs: DataFrame, members: DataFrame, least: int = 300) -> DataFrame:
     """Pairs of documents from pairs of representatives and class membership."""
     first = members.select(F.col("class_id").alias("doc_id_1"), F.col("doc_id").alias("m1"))
     second = members.select(F.col("class_id").alias("doc_id_2"), F.col("doc_id").alias("m2"))
     across = pairs.join(first, "doc_id_1").join(second, "doc_id_2").select(F.least("m1", "m2").alias("doc_id_1"), F.greatest("m1", "m2").alias("doc_id_2"))
-    long_enough = documents.where(F.length("text") >= least).select(F.col("doc_id").cast("long").alias("m1"))
-    left = members.select("class_id", F.col("doc_id").alias("m1")).join(long_enough, "m1", "left_semi")
-    inside = left.join(members.select("class_id", F.col("doc_id").alias("m2")), "class_id").where("m1 < m2").select(F.col("m1").alias("doc_id_1"), F.col("m2").alias("doc_id_2"))
+    sizes = members.where(F.col("n_chars") >= least).groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1")
+    copies = in_blocks(members.join(sizes, "class_id").select("class_id", "doc_id", "n"), "n", "doc_id")
+    left = copies.select("class_id", "lo", "hi", F.col("doc_id").alias("m1"), F.col("block").alias("b1"))
+    right = copies.select("class_id", "lo", "hi", F.col("doc_id").alias("m2"), F.col("block").alias("b2"))
+    inside = left.join(right, ["class_id", "lo", "hi"]).where("m1 < m2 and (lo = hi or b1 <> b2)").select(F.col("m1").alias("doc_id_1"), F.col("m2").alias("doc_id_2"))
     return across.unionByName(inside)
 
 
-def representatives(documents: DataFrame, members: DataFrame) -> DataFrame:
-    return documents.join(members.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
-
-
 def find_pairs(documents: DataFrame, least: int = 300) -> DataFrame:
     """Rows ``(doc_id_1, doc_id_2)``, the first smaller, of texts with a verbatim common span of the least length.
 
     Documents of equal text form a class and are compared once.  Null texts and texts shorter than
-    the least length share nothing; an empty table gives an empty result.
+    the least length share nothing; repeated ids count as one document each; an empty table gives
+    an empty result.
     """
     members = cut(classes(documents))
-    return expand_pairs(shared_pairs(documents, members, least), members, documents, least)
+    return expand_pairs(shared_pairs(documents, members, least), members, least)
 
 
-def shared_spans(documents: DataFrame, pairs: DataFrame, least: int = 300) -> DataFrame:
-    """``(doc_id, other_id, start, end)``: the maximal spans of each document that its partner holds."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = pairs.unionByName(pairs.select(F.col("doc_id_2").alias("doc_id_1"), F.col("doc_id_1").alias("doc_id_2")))
-    rows = both.join(texts.select(F.col("doc_id").alias("doc_id_1"), F.col("text").alias("t1")), "doc_id_1").join(texts.select(F.col("doc_id").alias("doc_id_2"), F.col("text").alias("t2")), "doc_id_2")
+def shared_spans(documents: DataFrame, members: DataFrame, least: int = 300) -> DataFrame:
+    """``(doc_id, other_id, start, end)``: the stretches of each representative that another class holds.
+
+    A stretch is as long as one and the same class holds it at one place: the smallest one, or for
+    that one itself the largest.
+    Its text there is the reference of a shard: its automaton is built once a block of documents,
+    and their stretches are streamed through it; spans whose matching statistics reach the least
+    length remain.  No pairs of documents are listed, whatever number of them holds a stretch.
+    """
+    sharing = sharing_texts(documents, members, least)
+    rows = cut(windows(sharing, least))
+    held = rows.groupBy("g").agg(F.min(F.struct("doc_id", "start")).alias("a"), F.max(F.struct("doc_id", (-F.col("start")).alias("back"))).alias("b")).where("a.doc_id < b.doc_id")
+    last = F.struct(F.col("b.doc_id").alias("doc_id"), (-F.col("b.back")).alias("start"))
+    seen = rows.join(held, "g").select("doc_id", "start", F.when(F.col("doc_id") == F.col("a.doc_id"), last).otherwise(F.col("a")).alias("o"))
+    seen = seen.select("doc_id", "start", F.col("o.doc_id").alias("other_id"), (F.col("o.start") - F.col("start")).alias("shift"))
+    w = Window.partitionBy("doc_id", "other_id", "shift").orderBy("start")
+    runs = seen.withColumn("run", F.col("start") - F.row_number().over(w)).groupBy("doc_id", "other_id", "shift", "run").agg(F.min("start").alias("start"), (F.max("start") + least).alias("end"))
+    runs = cut(runs.select("doc_id", "other_id", "start", "end", (F.col("start") + F.col("shift")).alias("at")))
+
+    shard = ["other_id", "at", "size"]
+    runs = runs.withColumn("size", F.col("end") - F.col("start"))
+    sizes = runs.groupBy(*shard).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = runs.join(sizes, shard).select(*shard, F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "doc_id", "start", F.lit(1).alias("part"))
+    references = sizes.select(*shard, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("other_id").alias("doc_id"), F.col("at").alias("start"), F.lit(0).alias("part"))
+    pieces = mine.unionByName(references).join(sharing.select("doc_id", "text"), "doc_id").withColumn("stretch", F.substr("text", F.col("start") + 1, F.col("size"))).drop("text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, automaton = None, None
+        key, automaton = None, None
         for batch in batches:
             out = []
-            for a, b, t1, t2 in zip(batch["doc_id_1"], batch["doc_id_2"], batch["t1"], batch["t2"]):
-                if last != b:
-                    last, automaton = b, SuffixAutomaton(t2)
-                out += [(a, b, s, e) for s, e in automaton.spans(t1, least)]
+            for other, at, size, block, doc, start, part, stretch in batch.itertuples(index=False, name=None):
+                if part == 0:
+                    if (other, at, size) != key:
+                        key, automaton = (other, at, size), SuffixAutomaton(stretch)
+                else:
+                    out += [(doc, other, start + s, start + e) for s, e in automaton.spans(stretch, least)]
             yield pd.DataFrame(out, columns=["doc_id", "other_id", "start", "end"])
 
-    return rows.sortWithinPartitions("doc_id_2").mapInPandas(run, "doc_id long, other_id long, start int, end int")
-
+    order = [*shard, "block"]
+    pieces = pieces.select(*shard, "block", "doc_id", "start", "part", "stretch").repartition(*order).sortWithinPartitions(*order, "part")
+    return pieces.mapInPandas(run, "doc_id long, other_id long, start int, end int")
 
-def shares(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """``(doc_id, n_chars, shared_chars, share)``: how much of each document's text is found elsewhere."""
-    from pyspark.sql import Window
 
+def shares(sizes: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(doc_id, n_chars, shared_chars, share)``: how much of each document's text is found elsewhere; ``sizes(doc_id, n_chars)``."""
     w = Window.partitionBy("doc_id").orderBy("start", "end")
     covered = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     part = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(covered, F.lit(0))), F.lit(0))
     sums = spans.select("doc_id", "start", "end").distinct().select("doc_id", part.alias("c")).groupBy("doc_id").agg(F.sum("c").alias("shared_chars"))
-    sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
-    joined = sizes.join(sums, "doc_id", "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
+    joined = sizes.select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars")).join(sums, "doc_id", "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
     return joined.withColumn("share", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(0.0))
 
 
-def _class_sizes(documents: DataFrame, members: DataFrame, least: int) -> DataFrame:
+def _class_sizes(members: DataFrame, least: int) -> DataFrame:
     """``(class_id, n_copies, n_chars, copied)``: copied tells that the whole text is a span that other members hold."""
-    sizes = documents.select(F.col("doc_id").cast("long").alias("class_id"), F.length("text").alias("n_chars"))
-    rows = members.groupBy("class_id").agg(F.count("*").alias("n_copies")).join(sizes, "class_id")
+    rows = members.groupBy("class_id").agg(F.count("*").alias("n_copies"), F.max("n_chars").alias("n_chars"))
     return rows.withColumn("copied", (F.col("n_copies") > 1) & (F.col("n_chars") >= least))
 
 
-def document_shares(documents: DataFrame, members: DataFrame, one: DataFrame, spans: DataFrame, least: int = 300) -> DataFrame:
+def document_shares(documents: DataFrame, members: DataFrame, spans: DataFrame, least: int = 300) -> DataFrame:
     """``(doc_id, class_id, n_chars, shared_chars, share, n_copies)``, one row per document.
 
-    ``spans`` are those between the representatives ``one``.  A text of at least the least length
-    that has equal copies is found elsewhere as a whole.  A null text shares nothing and is the
-    only one of its class.
+    ``spans`` are those of the representatives.  A text of at least the least length that has equal
+    copies is found elsewhere as a whole.  A null text shares nothing and is the only one of its
+    class.
     """
-    sizes = _class_sizes(documents, members, least).select("class_id", "n_copies", "copied")
-    of = shares(one, spans).withColumnRenamed("doc_id", "class_id").join(sizes, "class_id")
+    sizes = _class_sizes(members, least)
+    of = shares(sizes.select(F.col("class_id").alias("doc_id"), "n_chars"), spans).drop("n_chars").withColumnRenamed("doc_id", "class_id").join(sizes, "class_id")
     shared, share = F.when(F.col("copied"), F.col("n_chars")), F.when(F.col("copied"), 1.0)
-    of = of.select("class_id", "n_chars", F.coalesce(shared, "shared_chars").alias("shared_chars"), F.coalesce(share, "share").alias("share"), "n_copies")
+    of = of.select("class_id", F.coalesce(shared, "shared_chars").alias("shared_chars"), F.coalesce(share, "share").alias("share"), "n_copies")
     rows = members.join(of, "class_id").select("doc_id", "class_id", "n_chars", "shared_chars", "share", "n_copies")
     nulls = documents.where("text is null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     empty = {"class_id": F.col("doc_id"), "n_chars": F.lit(0), "shared_chars": F.lit(0).cast("long"), "share": F.lit(0.0), "n_copies": F.lit(1).cast("long")}
     return rows.unionByName(nulls.select("doc_id", *(c.alias(name) for name, c in empty.items())))
 
 
-def document_spans(documents: DataFrame, members: DataFrame, one: DataFrame, spans: DataFrame, least: int = 300) -> DataFrame:
-    """``(doc_id, class_id, other_class_id, start, end)``: the maximal spans of each document that the texts of a class hold.
+def document_spans(members: DataFrame, spans: DataFrame, least: int = 300) -> DataFrame:
+    """``(doc_id, class_id, other_class_id, start, end)``: the stretches of each document that another class holds.
 
-    The other class is the document's own where other members hold its whole text.  Every class
-    that another one shares a span with, or that has copies, has rows for all its members, so the
-    rows tell which documents hold a span without listing every pair of them.
+    The other class is the document's own where other members hold its whole text.  All members of
+    a class have its rows, so the rows tell which documents hold a stretch without listing pairs.
     """
     across = spans.select(F.col("doc_id").alias("class_id"), F.col("other_id").alias("other_class_id"), "start", "end")
-    whole = _class_sizes(documents, members, least).where("copied").select("class_id", F.col("class_id").alias("other_class_id"), F.lit(0).alias("start"), F.col("n_chars").alias("end"))
+    whole = _class_sizes(members, least).where("copied").select("class_id", F.col("class_id").alias("other_class_id"), F.lit(0).alias("start"), F.col("n_chars").alias("end"))
     return members.join(across.unionByName(whole), "class_id").select("doc_id", "class_id", "other_class_id", "start", "end")

@@ -14,7 +14,7 @@ from tessel.llm.grammars import parses
 from tessel.llm.labels import file_evidence, label_files
 from tessel.llm.leakage import WindowIndex, edit_distance, find_leaks, words
 from tessel.llm.packing import best_fit_decreasing, count_with_tokenizer, lower_bound, pack, token_count
-from tessel.llm.spans import Grams, SuffixAutomaton, find_pairs, shared_spans, shares, winnow
+from tessel.llm.spans import Grams, SuffixAutomaton, classes, document_shares, find_pairs, in_blocks, shared_spans, winnow
 from tessel.llm.survivors import survivors
 from tessel.llm.wellformed import check_files, failure_rates, well_formed
 from tessel.session import table
@@ -283,11 +283,33 @@ def test_automaton_and_shares(spark):
     assert h[0] == h[20] == h[40] and len(set(h[:20].tolist())) == 20
     assert set(winnow(h, 7)) <= set(range(len(h))) and max(b - x for x, b in zip(sorted(winnow(h, 7)), sorted(winnow(h, 7))[1:])) <= 7
     docs = spark.createDataFrame([(1, "x" * 5 + "abcdefgh"), (2, "abcdefgh" + "y" * 8), (3, None)], "doc_id long, text string")
-    pairs = spark.createDataFrame([(1, 2)], "doc_id_1 long, doc_id_2 long")
-    got = {r.doc_id: (r.shared_chars, r.share) for r in shares(docs, shared_spans(docs, pairs, 6)).collect()}
+    members = classes(docs)
+    got = {r.doc_id: (r.shared_chars, r.share) for r in document_shares(docs, members, shared_spans(docs, members, 6), 6).collect()}
     assert got == {1: (8, 0.615385), 2: (8, 0.5), 3: (0, 0.0)}
 
 
+def test_shards_in_blocks(spark, monkeypatch):
+    """Groups far larger than a block: every pair once, whatever meets where."""
+    monkeypatch.setattr("tessel.llm.spans.BLOCK", 8)
+    rng = random.Random(3)
+    rand = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    long = rand(320)
+    texts = [rand(60) + long + rand(60) for _ in range(60)] + ["w" * 400] * 30 + [long[:299] + "!"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    rows = [tuple(r) for r in find_pairs(df).collect()]
+    want = {(a, b) for a in range(60) for b in range(60) if a < b} | {(a, b) for a in range(60, 90) for b in range(60, 90) if a < b}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    members = classes(df)
+    holders: dict = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 299):
+            holders.setdefault(t[p : p + 300], set()).add(i if t[0] != "w" else 60)
+    want = {(i, p) for i, t in enumerate(texts[:61]) for p in range(len(t) - 299) if len(holders[t[p : p + 300]]) > 1}
+    spans = shared_spans(df, members).collect()
+    assert {(r.doc_id, p) for r in spans for p in range(r.start, r.end - 299)} == want and all(r.other_id != r.doc_id for r in spans)
+    assert in_blocks(spark.createDataFrame([(i, 20) for i in range(20)], "i long, n long"), "n", "i").count() == 60
+
+
 def test_shares_and_spans_of_every_document(spark, tmp_path):
     rng = random.Random(5)
     a, b, c = ("".join(rng.choices("abcdefgh ", k=n)) for n in (400, 350, 500))
