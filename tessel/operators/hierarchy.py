@@ -1,218 +1,160 @@
 """Operator: parent-child links of unknown depth into roots, depths, paths and descendants.
 
-Tree contraction, generalised to several parents: rounds alternate leaf raking (a node without
-children leaves the graph with its links) and unary-chain compression (a node with one parent and
+Tree contraction, generalised to several parents: every round rakes the leaves (a node without
+children leaves the graph with its links) and compresses unary chains (a node with one parent and
 one child is bypassed by a weighted link), so a chain of n nodes takes O(log n) rounds.  Reversing
-the recorded contractions gives every node its roots from its parents'.  What cannot be contracted
-is the core: cycles and what lies between and above them; a node that the core cannot free from
-above is on a cycle or below one.
+the recorded contractions gives every node its roots, or all its ancestors, from its parents'.
+What cannot be contracted is the core: cycles and what lies between and above them; a node that the
+core cannot free from above is on a cycle or below one.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.session import cut
 
 CYCLE_ROOT, CYCLE_DEPTH = "", -1
-#: What is left of the graph is solved by one task once it has no more links than this.
-LOCAL_LINKS = 5_000
 
 
 def _coin(c: Column, round_no: int) -> Column:
     return F.pmod(F.xxhash64(c, F.lit(round_no)), F.lit(2)) == 1
 
 
-def _contract(edges: DataFrame, round_no: int, compress: bool) -> DataFrame:
-    """One round over checkpointed edges: each link is marked kept, raked or compressed.
+def _contract(edges: DataFrame, round_no: int) -> DataFrame:
+    """One round over links ``(c, p, w, name[, via])``: each is marked kept, raked or compressed.
 
-    The link into a compressed node becomes a bypass in the same round, so a leaf below it is
-    raked a round later, and no link is recorded whose parent vanishes with it.
+    The link into a compressed node becomes a bypass to the node above, which stays, in the same
+    round, so no link is recorded whose parent vanishes with it and all links of a leaf are raked
+    at once.  ``unary`` tells that the child could be compressed under another coin.
     """
-    link = F.struct("child", "parent", "w", "via")
-    ends = edges.select(F.col("child").alias("node"), link.alias("up"), F.lit(None).cast(edges.select(link).schema[0].dataType).alias("down")).union(
-        edges.select(F.col("parent").alias("node"), F.lit(None).alias("up"), link.alias("down"))
-    )
-    stats = ends.groupBy("node").agg(F.count("up").alias("ups"), F.count("down").alias("downs"), F.min("up").alias("up"), F.min("down").alias("down"))
-    chain = stats.where(F.lit(compress) & (F.col("ups") == 1) & (F.col("downs") == 1) & (F.col("up.parent") != F.col("node")) & _coin(F.col("node"), round_no) & ~_coin(F.col("up.parent"), round_no))
-    leaves = stats.where((F.col("downs") == 0)).select(F.col("node").alias("child"), F.lit(True).alias("leaf"))
-    marked = edges.join(leaves, "child", "left").select("child", "parent", "w", "via", F.col("leaf").isNotNull().alias("leaf"), F.lit(0).alias("gone"))
-    via = F.lit(None).cast("array<string>")
-    changes = chain.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("node").alias("child"), F.col("up.parent").alias("parent"), F.lit(None).cast("int").alias("w"), via.alias("via"), F.lit(2).alias("gone")),
-                F.struct(F.col("down.child").alias("child"), F.col("node").alias("parent"), F.lit(None).cast("int").alias("w"), via.alias("via"), F.lit(1).alias("gone")),
-                F.struct(
-                    F.col("down.child").alias("child"),
-                    F.col("up.parent").alias("parent"),
-                    (F.col("up.w") + F.col("down.w")).alias("w"),
-                    F.concat("up.via", F.array("node"), "down.via").alias("via"),
-                    F.lit(0).alias("gone"),
-                ),
-            )
-        ).alias("x")
-    ).select("x.child", "x.parent", "x.w", "x.via", F.lit(False).alias("leaf"), "x.gone")
-    rows = (
-        marked.union(changes)
-        .groupBy("child", "parent")
-        .agg(F.min(F.when(F.col("w").isNotNull(), F.struct("w", "via"))).alias("s"), F.max("gone").alias("gone"), F.max("leaf").alias("leaf"))
-        .where("gone <> 1")
-    )
-    kind = F.when(F.col("gone") == 2, "compressed").when(F.col("leaf"), "raked").otherwise("kept")
-    return rows.select("child", "parent", "s.w", "s.via", kind.alias("kind"))
+    listed = "via" in edges.columns
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("up", "long"), ("w", "int"))}
+    rows = [edges.select(F.col("c").alias("node"), F.col("p").alias("up"), "w", *(["via", "name"] if listed else []))]
+    lists = [F.lit(None).cast(edges.schema["via"].dataType).alias("via"), F.lit(None).cast("string").alias("name")] if listed else []
+    rows.append(edges.select(F.col("p").alias("node"), none["up"], none["w"], *lists))
+    lists = [F.first(F.when(F.col("up").isNotNull(), F.struct("via", "name")), ignorenulls=True).alias("s")] if listed else []
+    stats = rows[0].unionByName(rows[1]).groupBy("node").agg(F.count("up").alias("ups"), F.count_if(F.col("up").isNull()).alias("downs"), F.min("up").alias("up"), F.min("w").alias("up_w"), *lists)
+    unary = (F.col("ups") == 1) & (F.col("downs") == 1) & (F.col("up") != F.col("node"))
+    marks = stats.where((F.col("downs") == 0) | unary).select("node", (F.col("downs") == 0).alias("leaf"), (unary & _coin(F.col("node"), round_no) & ~_coin(F.col("up"), round_no)).alias("gone"), "up", "up_w", *(["s"] if listed else []))
+    below = marks.select(F.col("node").alias("c"), "leaf", F.col("gone").alias("c_gone"), (~F.col("leaf")).alias("unary"))
+    above = marks.where("gone").select(F.col("node").alias("p"), F.col("up"), F.col("up_w"), F.lit(True).alias("p_gone"), *(["s"] if listed else []))
+    both = edges.join(below, "c", "left").join(above, "p", "left")
+    bypass = F.col("p_gone").isNotNull()
+    kind = F.when(F.col("leaf"), "raked").when(bypass, "kept").when(F.col("c_gone"), "compressed").otherwise("kept")
+    via = [F.when(bypass, F.concat("s.via", F.array("s.name"), "via")).otherwise(F.col("via")).alias("via")] if listed else []
+    return both.select("c", F.coalesce("up", "p").alias("p"), (F.col("w") + F.coalesce("up_w", F.lit(0))).alias("w"), "name", *via, kind.alias("kind"), F.coalesce("unary", F.lit(False)).alias("unary"))
 
 
 def _below(links: DataFrame, known: DataFrame) -> DataFrame:
-    """Roots of the links' children, from what is known of their parents."""
-    got = links.join(known.withColumnRenamed("node", "parent"), "parent")
+    """What is known of the links' children from what is known of their parents: ``(node, name, root, depth[, path])``."""
+    got = links.join(known.withColumnRenamed("node", "p").withColumnRenamed("name", "p_name"), "p")
     cyclic = F.col("root") == CYCLE_ROOT
-    return (
-        got.groupBy("child", "root")
-        .agg(
-            F.min(
-                F.struct(
-                    F.when(cyclic, CYCLE_DEPTH).otherwise(F.col("depth") + F.col("w")).alias("depth"),
-                    F.when(cyclic, F.array().cast("array<string>")).otherwise(F.concat("path", "via", F.array("child"))).alias("path"),
-                )
-            ).alias("s")
-        )
-        .select(F.col("child").alias("node"), "root", "s.depth", "s.path")
-    )
-
-
-def _core(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Roots (in a closure: all ancestors) and cycle marks of the uncontractible core, by relaxation and peeling from above."""
-    left, size = edges.select("child", "parent"), -1
+    depth = F.when(cyclic, CYCLE_DEPTH).otherwise(F.col("depth") + F.col("w"))
+    if "path" not in known.columns:
+        return got.groupBy(F.col("c").alias("node"), "name", "root").agg(F.min(depth).cast("int").alias("depth"))
+    path = F.when(cyclic, F.array().cast("array<string>")).otherwise(F.concat("path", "via", F.array("name")))
+    best = got.groupBy(F.col("c").alias("node"), "name", "root").agg(F.min(F.struct(depth.cast("int").alias("depth"), path.alias("path"))).alias("s"))
+    return best.select("node", "name", "root", "s.depth", "s.path")
+
+
+def _own(links: DataFrame) -> DataFrame:
+    """In a closure: the links' children as their own ancestors, and the bypassed nodes above them."""
+    inner = links.select(F.col("c").alias("node"), "name", F.posexplode("via").alias("i", "root"), F.size("via").alias("n"))
+    inner = inner.select("node", "name", "root", (F.col("n") - F.col("i")).cast("int").alias("depth"))
+    return inner.unionByName(links.select(F.col("c").alias("node"), "name", F.col("name").alias("root"), F.lit(0).alias("depth")))
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("node", "name", "root").agg(F.min("depth").alias("depth"))
+
+
+def _core(edges: DataFrame, roots: DataFrame, closure: bool) -> DataFrame:
+    """What is known of the uncontractible core's nodes, by peeling and relaxation from above."""
+    left = cut(edges.select("c", "p", "name"))
     while True:  # free the nodes whose every way up ends
-        free = left.select(F.col("parent").alias("node")).distinct().join(left.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-        left = cut(left.join(free.withColumnRenamed("node", "parent"), "parent", "left_anti").select("child", "parent"))
-        if (now := left.count()) == size:
+        free = cut(left.select("p").distinct().join(left.select(F.col("c").alias("p")).distinct(), "p", "left_anti"))
+        if free.isEmpty():
             break
-        size = now
-    marks = left.select(F.col("child").alias("node")).distinct().select("node", F.lit(CYCLE_ROOT).alias("root"), F.lit(CYCLE_DEPTH).alias("depth"), F.array().cast("array<string>").alias("path"))
-    ends = edges.select(F.col("parent").alias("node")).union(edges.select(F.col("child").alias("node"))).distinct()
-    known = cut(roots.join(ends, "node", "left_semi"))
-    front = known
+        left = cut(left.join(free, "p", "left_anti"))
+    marks = left.select(F.col("c").alias("node"), "name").distinct().select("node", "name", F.lit(CYCLE_ROOT).alias("root"), F.lit(CYCLE_DEPTH).alias("depth"))
+    if "path" in roots.columns:
+        marks = marks.withColumn("path", F.array().cast("array<string>"))
+    known = roots.join(edges.select(F.col("p").alias("node")).distinct(), "node", "left_semi")
+    known = cut(_least(known.unionByName(_own(edges))) if closure else known)
+    front, rank = known, [c for c in ("depth", "path") if c in known.columns]
     while True:
-        step = _below(edges, front)
-        best = known.select("node", "root", F.col("depth").alias("had"))
-        front = cut(step.join(best, ["node", "root"], "left").where("had is null or depth < had").drop("had"))
+        best = known.select("node", "root", F.struct(*rank).alias("had"))
+        front = cut(_below(edges, front).join(best, ["node", "root"], "left").where(F.col("had").isNull() | (F.struct(*rank) < F.col("had"))).drop("had"))
         if front.isEmpty():
             break
         known = cut(known.join(front.select("node", "root"), ["node", "root"], "left_anti").unionByName(front))
-    inner = edges.select(F.col("child").alias("node")).distinct()
+    inner = edges.select(F.col("c").alias("node")).distinct()
     return cut(known.join(inner, "node", "left_semi").unionByName(marks))
 
 
-def solve_links(links: list[tuple[str, str, int, list]], closure: bool = False) -> Iterator[tuple[str, str, int, list]]:
-    """``(node, root, depth, path)`` of the children of a small graph, cycles included; in a closure every node is a root."""
-    up, down = defaultdict(list), defaultdict(list)
-    for child, parent, w, via in links:
-        up[child].append((parent, w, via))
-        down[parent].append(child)
-    found: dict[str, dict] = {p: {p: (0, [p])} for p in down if p not in up}
-    waiting = {c: len(v) for c, v in up.items()}
-    todo, cyclic = list(found), set(up)
-
-    def gather(node: str) -> dict:
-        best = dict(found.get(node, {node: (0, [node])} if closure else {}))
-        for parent, w, via in up[node]:
-            for root, (depth, path) in found.get(parent, {}).items():
-                new = (depth + w, path + via + [node])
-                if root not in best or new < best[root]:
-                    best[root] = new
-        return best
-
-    while todo:  # from the roots down, as far as every parent is known
-        for child in down.get(todo.pop(), ()):
-            waiting[child] -= 1
-            if not waiting[child]:
-                found[child] = gather(child)
-                cyclic.discard(child)
-                todo.append(child)
-    todo = sorted(cyclic)
-    if closure:
-        found |= {node: {node: (0, [node])} for node in cyclic}
-    while todo:  # on cycles and below: until nothing gets shorter
-        again = []
-        for node in todo:
-            best = gather(node)
-            if best != found.get(node, {}):
-                found[node] = best
-                again += down.get(node, ())
-        todo = sorted(set(again))
-    for node in up:
-        for root, (depth, path) in found.get(node, {}).items():
-            yield node, root, depth, path
-        if node in cyclic:
-            yield node, CYCLE_ROOT, CYCLE_DEPTH, []
-
-
-def _solve_locally(edges: DataFrame, with_paths: bool, closure: bool) -> DataFrame:
-    """The rest of the graph in one task; the caller has checked its size."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        links = [(c, p, int(w), list(via)) for b in batches for c, p, w, via in zip(b["child"], b["parent"], b["w"], b["via"])]
-        rows = [(n, r, d, path if with_paths else []) for n, r, d, path in solve_links(links, closure)]
-        yield pd.DataFrame(rows, columns=["node", "root", "depth", "path"])
-
-    return edges.select("child", "parent", "w", "via").coalesce(1).mapInPandas(run, "node string, root string, depth int, path array<string>")
-
-
-def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = False, local_links: int = LOCAL_LINKS, closure: bool = False) -> DataFrame:
-    """Rows ``(node, root, depth, path)``: each node with every root above it, by the fewest links.
+def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """``(node, name)``: each name's 64-bit hash, under the first seed that tells all names apart."""
+    seed = 0
+    while True:
+        ids = cut(nodes.where("node is not null").groupBy(F.xxhash64("node", F.lit(seed)).alias("id")).agg(F.min("node").alias("name"), F.max("node").alias("other")))
+        if ids.where("name <> other").isEmpty():
+            return ids.select(F.col("id").alias("node"), "name"), seed
+        seed += 1
+
+
+def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = False, closure: bool = False) -> DataFrame:
+    """Rows ``(node, root, depth[, path])``: each node with every root above it, by the fewest links.
 
     ``nodes(node)`` holds the nodes, ``links(child, parent)`` their links; links to or from what
     is no node are ignored, repeated links count once, and a link to itself is a cycle.  A root is
     its own root at depth 0.  A node on a cycle, or with a way up into one, has one more row with
-    root ``''`` and depth -1.  ``path`` (root first) is empty unless ``with_paths``; of several
-    shortest paths the smallest stands.  No nodes give no rows.  Rounds grow with the logarithm of
-    unary chains and with the depth of branching in several parents; lineage is cut every round.
-    Contraction ends when at most ``local_links`` links are left, which one task solves, or when
-    nothing can be contracted, and then the larger core is solved in further rounds.  With
-    ``closure`` every node counts as a root of its own, so the rows are all pairs of a node and an
-    ancestor; chains are then not compressed, as a bypass would lose the ancestors on it.
+    root ``''`` and depth -1.  ``path`` (root first, empty in a cycle's row) comes ``with_paths``;
+    of several shortest paths the smallest stands.  No nodes give no rows.  With ``closure`` every
+    node counts as a root of its own, so the rows are all pairs of a node and an ancestor; the
+    bypassed nodes that compression recorded are among these.
+
+    Contraction goes on as long as it finds a leaf or a chain, whatever is left; rounds grow with
+    the logarithm of unary chains and with the depth of branching in several parents; lineage is
+    cut every round.  Nodes go by the hashes of their names, and names only ride along.
     """
-    nodes = cut(nodes.where("node is not null").select("node").distinct())
-    links = links.select("child", "parent").distinct()
-    links = links.join(nodes.withColumnRenamed("node", "child"), "child", "left_semi").join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    edges = cut(links.select("child", "parent", F.lit(1).alias("w"), F.array().cast("array<string>").alias("via")))
-    roots = nodes.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-    path = F.array("node") if with_paths else F.array().cast("array<string>")
-    roots = nodes if closure else roots
-    roots = cut(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), path.alias("path")))
+    ids, seed = _numbered(nodes)
+
+    def number(c: str) -> Column:
+        return F.xxhash64(c, F.lit(seed))
+
+    pairs = links.where("child is not null and parent is not null").select(number("child").alias("c"), F.col("child").alias("name"), number("parent").alias("p"), F.col("parent").alias("p_name"))
+    pairs = pairs.join(ids.withColumnRenamed("node", "c"), ["c", "name"], "left_semi").join(ids.select(F.col("node").alias("p"), F.col("name").alias("p_name")), ["p", "p_name"], "left_semi").dropDuplicates(["p", "p_name", "c", "name"])
+    via = [F.array().cast("array<string>").alias("via")] if with_paths or closure else []
+    edges = cut(pairs.select("c", "p", F.lit(1).alias("w"), "name", *via))
+    path = [F.array("name").alias("path")] if with_paths else []
+    top = ids.join(edges.select(F.col("c").alias("node")), "node", "left_anti")
+    roots = cut(top.select("node", "name", F.col("name").alias("root"), F.lit(0).alias("depth"), *path))
 
     records: list[DataFrame] = []
-    left, idle, round_no = edges.count(), 0, 0
-    while left > local_links and idle < 2:
-        step = _contract(edges, round_no, not closure)
-        step = cut(step if with_paths else step.withColumn("via", F.array().cast("array<string>")))
-        sizes = {r["kind"]: r["count"] for r in step.groupBy("kind").count().collect()}
-        left = sizes.get("kept", 0)
-        if set(sizes) - {"kept"}:
-            records.append(step.where("kind <> 'kept'").drop("kind"))
-            edges, idle = step.where("kind = 'kept'").drop("kind"), 0
-        else:
-            idle += 1
+    round_no, more = 0, not edges.isEmpty()
+    while more:
+        step = cut(_contract(edges, round_no))
+        kept, done, unary = step.agg(F.count_if(F.col("kind") == "kept"), F.count_if(F.col("kind") != "kept"), F.count_if((F.col("kind") == "kept") & F.col("unary"))).first()
+        if done:
+            records.append(step.where("kind <> 'kept'").drop("kind", "unary"))
+        edges = step.where("kind = 'kept'").drop("kind", "unary")
+        more = kept and (done or unary)
         round_no += 1
     known = roots
-    if left:
-        known = roots.unionByName(cut(_solve_locally(edges, with_paths, closure)) if left <= local_links else _core(edges, roots))
-    for step in reversed(records):
-        got = _below(step, known)
-        known = known.unionByName(cut(got if with_paths else got.withColumn("path", F.array().cast("array<string>"))))
-    return known.groupBy("node", "root").agg(F.min(F.struct("depth", "path")).alias("s")).select("node", "root", "s.depth", "s.path")
+    if records or not edges.isEmpty():
+        if not edges.isEmpty():
+            known = known.unionByName(_core(edges, roots, closure))
+        for step in reversed(records):
+            got = _below(step, known)
+            known = known.unionByName(cut(_least(got.unionByName(_own(step))) if closure else got))
+    return known.select(F.col("name").alias("node"), *known.columns[2:])
 
 
-def descendants(nodes: DataFrame, links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
+def descendants(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(node, descendant, depth)``: everything below each node, by the fewest links."""
-    rows = contract_hierarchy(nodes, links, local_links=local_links, closure=True).where("depth > 0 and root <> node")
+    rows = contract_hierarchy(nodes, links, closure=True).where("depth > 0 and root <> node")
     return rows.select(F.col("root").alias("node"), F.col("node").alias("descendant"), "depth")
 
 
@@ -220,5 +162,3 @@ def qualified(name: Column, module: Column) -> Column:
     """An xml id without its outer blanks; one without a dot belongs to the row's module."""
     bare = F.trim(name)
     return F.when(bare == "", None).when(F.contains(bare, F.lit(".")), bare).otherwise(F.concat(F.trim(module), F.lit("."), bare))
-
-

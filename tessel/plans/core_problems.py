@@ -114,7 +114,7 @@ n AS (SELECT dump_id, view_no, path, row_number() OVER (PARTITION BY dump_id, vi
 SELECT n.dump_id, n.view_no::INT AS view_no, n.elem_no::INT AS elem_no, coalesce(p.elem_no, 0)::INT AS parent_no, len(n.path)::INT AS depth
 FROM n LEFT JOIN n p ON p.dump_id = n.dump_id AND p.view_no = n.view_no AND len(n.path) > 0 AND p.path = list_slice(n.path, 1, len(n.path) - 1)"""
 QUALIFIED = "CASE WHEN trim({0}) = '' THEN NULL WHEN contains(trim({0}), '.') THEN trim({0}) ELSE trim(module_name) || '.' || trim({0}) END"
-#: Shortest ways of up to 64 links suffice for the tables the SQL runs on.
+#: On cycles the SQL stops at ways of 64 links, far above the depth of any table; the operator has no such bound.
 HIERARCHY_SQL = f"""WITH RECURSIVE r AS (SELECT kind AS h, trim(name) AS node, parents FROM core_registry UNION ALL SELECT 'module', trim(name), depends FROM addon_modules
 UNION ALL SELECT 'model', trim(name), regexp_extract_all(inherit_model, '[\\w.]+') FROM addon_models
 UNION ALL SELECT 'menu', {QUALIFIED.format("xml_id")}, [{QUALIFIED.format("parent_xml_id")}] FROM menu_records UNION ALL SELECT 'view', {QUALIFIED.format("xml_id")}, [{QUALIFIED.format("inherit_id")}] FROM view_records),
@@ -143,6 +143,10 @@ v AS (SELECT table_name, row_id, column_name, {VALUES_SQL} AS vals FROM i)
 ORACLES = {
     "p4_found": PACKED_SQL + "SELECT table_name, row_id, column_name, unnest(range(1, len(vals) + 1))::INT AS pos, unnest(vals) AS val FROM v WHERE len(vals) > 1",
     "p6_found": HIERARCHY_SQL,
+    "p6_paths": HIERARCHY_SQL.rsplit("SELECT h AS hierarchy", 1)[0] + """, ways(h, node, root, depth, path) AS (SELECT h, node, node, 0, [node] FROM nodes WHERE NOT EXISTS (SELECT 1 FROM links WHERE links.h = nodes.h AND links.child = nodes.node)
+UNION SELECT w.h, l.child, w.root, w.depth + 1, list_append(w.path, l.child) FROM ways w JOIN links l ON l.h = w.h AND l.parent = w.node WHERE NOT list_contains(w.path, l.child))
+SELECT h AS hierarchy, node, root, array_to_string(arg_min(path, (depth, path)), ' > ') AS path FROM ways GROUP BY 1, 2, 3""",
+    "p6_descendants": HIERARCHY_SQL.rsplit("SELECT h AS hierarchy", 1)[0] + "SELECT h AS hierarchy, anc AS node, node AS descendant, min(depth)::INT AS depth FROM up WHERE node <> anc GROUP BY 1, 2, 3",
     "p2_found": NESTED_SQL,
     "p7_found": CHANGES_SQL + "SELECT DISTINCT scan_id FROM c",
     "p7_pending": CHANGES_SQL + "SELECT project_name, count(*) AS n_paths FROM c GROUP BY 1",
