@@ -43,6 +43,31 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("row_id is not null")
 
 
+def p5_untimed(spark: SparkSession, d: str) -> DataFrame:
+    """Currency reasoning put to the test: per field, the groups whose surviving value is the true latest one.
+
+    Each group's latest row loses its timestamp, so only the learnt precedence can tell that it is
+    the latest; the true timestamps stay beside it to judge by.  ``n_related`` counts the groups
+    where the survivor is not just the last row that kept its timestamp.
+    """
+
+    def of(name: str, key: str, member: str, columns: tuple[str, ...]) -> DataFrame:
+        parts = [model_key(F.col("model_name")), name_key(F.col(member)), module_key(F.col("module_name"), F.col("file_path"))]
+        rows = table(spark, d, name)
+        last = rows.groupBy(*(p.alias(f"k{i}") for i, p in enumerate(parts))).agg(F.max_by(key, F.struct("indexed_at", -F.col(key))).alias(key)).select(key, F.lit(True).alias("last"))
+        blank = rows.join(last, key, "left").withColumn("known_at", F.when(F.col("last").isNull(), F.col("indexed_at")))
+        true = survivors(rows, key, parts, columns, "indexed_at", name).withColumnRenamed("row_id", "true_id")
+        found = survivors(blank, key, parts, columns, "known_at", name)
+        kept = survivors(blank.where("known_at is not null"), key, parts, columns, "known_at", name).select("column_name", F.col("row_id").alias("r"), F.lit(True).alias("kept"))
+        long = rows.select(F.col(key).alias("r"), F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.md5(c).alias("v")) for c in columns))).alias("x")).select("r", "x.*")
+        both = true.join(found, ["table_name", "group_id", "column_name"]).where("true_id is not null")
+        both = both.join(long.select("column_name", F.col("r").alias("true_id"), F.col("v").alias("true_v")), ["column_name", "true_id"]).join(long.select("column_name", F.col("r").alias("row_id"), "v"), ["column_name", "row_id"])
+        both = both.join(kept.withColumnRenamed("r", "row_id"), ["column_name", "row_id"], "left")
+        return both.groupBy("table_name", "column_name").agg(F.count("*").alias("n_groups"), F.count_if(F.col("v") == F.col("true_v")).alias("n_right"), F.count_if(F.col("kept").isNull()).alias("n_related"))
+
+    return of("model_methods", "method_id", "method_name", METHODS).unionByName(of("model_fields", "field_id", "field_name", FIELDS))
+
+
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     """The surviving method or field of each group, put together field by field, with the names the group agrees on."""
 
@@ -99,7 +124,7 @@ def p10_spans(spark: SparkSession, d: str) -> DataFrame:
     return document_spans(members, shared_spans(documents, members))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_labels, p5_found, p5_records, p8_found, p8_containers, p9_found, p9_near, p10_found, p10_shares, p10_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_labels, p5_found, p5_records, p5_untimed, p8_found, p8_containers, p9_found, p9_near, p10_found, p10_shares, p10_spans)}
 
 KEYS = """
   replace(lower(trim(model_name)), '_', '.') AS k1, lower(trim({member})) AS k2,

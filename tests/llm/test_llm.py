@@ -145,6 +145,56 @@ def test_currency_without_timestamps(spark):
     assert survivors(df.limit(0), "id", [F.col("name")], ["v"], "t", "x").count() == 0
 
 
+def test_currency_through_missing_values(spark):
+    """Learnt a -> b and b -> c: of {a, c} without timestamps c is the later, though no group shows a -> c."""
+    rows = [(0, "g", "a", 1), (1, "g", "b", 2), (2, "h", "b", 1), (3, "h", "c", 2), (10, "u", "a", None), (11, "u", "c", None)]
+    # timed and untimed together: what follows the latest timestamped value survives, what is before or apart does not
+    rows += [(20, "m", "a", 5), (21, "m", "c", None), (30, "w", "c", 5), (31, "w", "a", None), (40, "x", "b", 5), (41, "x", "apart", None), (50, "y", "a", None), (51, "y", "a", 3)]
+    # a cycle of three leaves no value later than another
+    rows += [(60, "k1", "p", 1), (61, "k1", "q", 2), (62, "k2", "q", 1), (63, "k2", "r", 2), (64, "k3", "r", 1), (65, "k3", "p", 2), (70, "z", "q", None), (71, "z", "p", None), (72, "z", "r", None)]
+    df = spark.createDataFrame(rows, "id long, name string, v string, t int")
+    got = {r.group_id: r.row_id for r in survivors(df, "id", [F.col("name")], ["v"], "t", "x").collect()}
+    assert got == {0: 1, 2: 3, 10: 11, 20: 21, 30: 30, 40: 40, 50: 51, 60: 61, 62: 63, 64: 65, 70: 70}
+
+
+def test_currency_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, f"g{rng.randrange(60)}", f"v{rng.randrange(9)}", None if rng.random() < 0.4 else rng.randrange(1000)) for i in range(400)]
+    net: dict = {}
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append(r)
+    for g in groups.values():
+        timed = sorted((r for r in g if r[3] is not None), key=lambda r: (r[3], r[0]))
+        for x, y in zip(timed, timed[1:]):
+            if x[2] != y[2]:
+                net[x[2], y[2]] = net.get((x[2], y[2]), 0) + 1
+                net[y[2], x[2]] = net.get((y[2], x[2]), 0) - 1
+    after: dict = {}
+    for (x, y), n in net.items():
+        if n > 0:
+            after.setdefault(x, set()).add(y)
+
+    def reach(x):
+        seen, todo = set(), [x]
+        while todo:
+            todo += [y for y in after.get(todo.pop(), ()) if y not in seen and not seen.add(y)]
+        return seen
+
+    want = {}
+    for g in groups.values():
+        timed = max((r for r in g if r[3] is not None), key=lambda r: (r[3], -r[0]), default=None)
+        held = {} if timed is None else {timed[2]: (False, timed[0])}
+        for r in g:
+            if r[3] is None:
+                held[r[2]] = min(held.get(r[2], (True, r[0])), (True, r[0]))
+        latest = [v for v in held if not any(w in reach(v) and v not in reach(w) for w in held if w != v)]
+        if len(g) > 1:
+            want[min(r[0] for r in g)] = min(held[v] for v in latest)[1]
+    df = spark.createDataFrame(rows, "id long, name string, v string, t int")
+    assert {r.group_id: r.row_id for r in survivors(df, "id", [F.col("name")], ["v"], "t", "x").collect()} == want
+
+
 # ---- packing
 
 
