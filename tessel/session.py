@@ -44,11 +44,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage; survives the loss of executors."""
+    """Materialise in the shared folder and forget the lineage; survives the loss of executors.
+
+    A checkpoint hands on the size estimate and the constraints of its plan.  In a loop of joins
+    these multiply from round to round, until planning takes longer than the work, so only the
+    rows are taken over.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def spread(df: DataFrame) -> DataFrame:
