@@ -2,7 +2,8 @@
 
 Each file's text and name give evidence for five labels; belief propagation over the directory
 tree (sum-product in log space, one pass up, one down) adds what its directory, the siblings and
-the directories above suggest.  The tree's levels are DataFrames of directories, so a directory may
+the directories above suggest.  A file without signs of its own takes its directory's label where
+most siblings are clear; a clear file keeps its own.  The tree's levels are DataFrames of directories, so a directory may
 hold any number of files: its messages are summed by partial aggregation.
 """
 
@@ -22,9 +23,9 @@ from tessel.session import cut, spread
 
 LABELS = ("hand", "generated", "minified", "vendored", "blob")
 #: log potential of a child's label under its directory's, over a flat one
-SAME, OTHER = math.log(0.6), math.log(0.1)
+SAME, OTHER = math.log(0.76), math.log(0.06)
 #: log prior of a file's label
-PRIOR = (math.log(0.8), math.log(0.06), math.log(0.04), math.log(0.06), math.log(0.04))
+PRIOR = (math.log(0.7), math.log(0.08), math.log(0.06), math.log(0.1), math.log(0.06))
 
 GENERATED_NOTE = re.compile(
     r"(?i)@generated\b|\bauto-?generated\b|\bautomatically (?:generated|created|produced)\b|\b(?:created|generated|written|produced) automatically\b|\b(?:generated|produced|compiled|created) (?:by|from|with|using) (?:the )?\S+|"
@@ -32,14 +33,19 @@ GENERATED_NOTE = re.compile(
 )
 TOOL = re.compile(r"(?i)\b(?:v(?:ersion)?\s?\d|\d+\.\d+|--\w+|\.ya?ml|compiler|tool\b|run of|source:|@generated|`)")
 COPYRIGHT = re.compile(r"(?i)copyright\s+(?:\(c\)|©)?\s*\d{4}|\(c\)\s+(?:\d{4}|\w[\w-]* (?:authors|team|contributors|developers))|@license\b|released under the\b|distributed under the\b|\blicen[cs]ed? (?:under|:)|\bgoverned by\b|\blicen[cs]e \([A-Z]|^/\*! ?\S+ v?\d+\.\d+")
-UPSTREAM = re.compile(r"(?i)\bupstream (?:project|version)|\bbundled copy\b|\bvendored\b|\bunmodified\b|\bin pure python\b")
+UPSTREAM = re.compile(r"(?i)\bupstream (?:project|version)|\bbundled copy\b|\bvendored\b|\bunmodified\b")
 UMD = re.compile(r"typeof define\s*===?\s*['\"]function['\"]\s*&&\s*define\.amd|typeof exports\s*===?\s*['\"]object['\"]")
-BUNDLE = re.compile(r"(?m)^/\*{3,}/|__webpack_|__unpack__|\bparcelRequire\b|^//# sourceMappingURL=")
-OTHER_LANGUAGE = re.compile(r"\A\s*(?:<\?xml|<!|<[A-Za-z][\w:.-]*[\s>/]|id,name,)")
+BUNDLE = re.compile(r"(?:\A|\n)/\*{3,}/")
+#: what bundlers leave in their output
+BUNDLER_MARKS = ("__webpack_", "parcelRequire", "\n//# sourceMappingURL=")
+OTHER_LANGUAGE = re.compile(r"\A\s*(?:<\?xml|<!|<[A-Za-z][\w:.-]*[\s>/])")
+#: a header of names and rows of as many fields: delimited text under this name
+DELIMITED = re.compile(r"\A\w+(?:,[\w/. ]+)+\n[^\n(){}=;]*,[^\n]*(?:\n|\Z)")
 CSS = re.compile(r"(?m)^\s*[.#@]?[\w.#>:,\s-]+\{\s*$\n\s*[\w-]+\s*:[^{}]*;\s*$")
 LITERAL = re.compile(r"""[bru]?"(?:[^"\\\n]|\\.)*+"|[bru]?'(?:[^'\\\n]|\\.)*+'|(?<![\w.])-?\d[\w.]*""")
 WORD = re.compile(r"[^\W\d]\w*")
-SHAPE = re.compile(r"[^\W\d]\w*|-?\d[\w.]*(?:\s*,\s*-?\d[\w.]*)*|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|\s+")
+VALUES = re.compile(r"0(?:[ \t]*,[ \t]*0)+")
+BLANKS = re.compile(r"[ \t]+")
 ESCAPED = re.compile(r"\\x[0-9a-fA-F]{2}")
 ENCODED = re.compile(r"[A-Za-z0-9+/=]{400}")
 COMMENT = {"py": re.compile(r"\A(?:\s|#[^\n]*|[rRuU]?\"\"\"[\s\S]*?\"\"\"|[rRuU]?'''[\s\S]*?'''|['\"]use strict['\"];?)*"), "js": re.compile(r"\A(?:\s|//[^\n]*|/\*[\s\S]*?\*/|['\"]use strict['\"];?)*")}
@@ -50,9 +56,9 @@ VENDOR_DIRECTORY = re.compile(r"(?i)^_?(?:vendor(?:ed)?|third[_-]?party|node_mod
 BUILD_DIRECTORY = re.compile(r"(?i)^_?(?:dist|build|gen|generated|out)$")
 
 
-def file_evidence(path: str, text: str) -> list[float]:
-    """Log evidence for each of ``LABELS`` from a file's name and whole text."""
-    e = list(PRIOR)
+def signs(path: str, text: str) -> list[float]:
+    """What a file's name and whole text say for each of ``LABELS``."""
+    e = [0.0] * len(LABELS)
     hand, generated, minified, vendored, blob = range(5)
     language = path.rsplit(".", 1)[-1].lower()
     text = CONFLICT.sub("", text.replace("\r\n", "\n"))
@@ -65,17 +71,17 @@ def file_evidence(path: str, text: str) -> list[float]:
     if not body:
         e[hand] += 6
         return e
-    if OTHER_LANGUAGE.match(body) or CSS.search(body) and not CODE.search(re.sub(r"/\*[\s\S]*?\*/", "", body)):
+    if OTHER_LANGUAGE.match(body) or DELIMITED.match(body) or not CODE.search(uncommented := re.sub(r"/\*[\s\S]*?\*/", "", body)) and CSS.search(uncommented):
         e[hand] += 8  # another language's source under this name
         return e
     head = COMMENT.get(language, COMMENT["js"]).match(text)[0]
     lines = [x for x in body.split("\n") if x.strip()]
-    letters = len(re.sub(r"\s", "", body)) or 1
+    letters = len("".join(body.split())) or 1
 
     notes = [x for x in re.split(r"\n", head) if GENERATED_NOTE.search(x)]
     if notes:
         e[generated] += 1.0 + (5.0 if any(TOOL.search(x) or len(GENERATED_NOTE.findall(x)) > 1 or re.search(r"(?i)overwritten|lost", x) for x in notes) else 0)
-    if BUNDLE.search(text):
+    if any(m in text for m in BUNDLER_MARKS) or "***/" in text and BUNDLE.search(text):
         e[generated] += 7
     if COPYRIGHT.search(head):
         e[vendored] += 7
@@ -85,24 +91,26 @@ def file_evidence(path: str, text: str) -> list[float]:
         e[vendored] += 6
 
     # hand-written code is wordy and varied; tables and stubs repeat one shape of line
-    shapes = Counter(SHAPE.sub(lambda m: " " if m[0].isspace() else "w" if m[0][0].isalpha() or m[0][0] == "_" else "v", x).strip() for x in lines)
-    repeated = 1 - len(shapes) / len(lines)
-    longest, average = max(map(len, lines)), len(body) / len(lines)
-    literal = sum(len(m) for m in LITERAL.findall(body)) / letters
-    words = WORD.findall(LITERAL.sub("", body))
+    bare = LITERAL.sub("0", body)
+    shapes = Counter(x.strip() for x in WORD.sub("w", VALUES.sub("0", BLANKS.sub(" ", bare))).split("\n") if x.strip())
+    n_lines = len(lines)
+    repeated = 1 - len(shapes) / n_lines
+    longest, average = max(map(len, lines)), len(body) / n_lines
+    literal = 1 - len("".join(bare.replace("0", "").split())) / letters
+    words = WORD.findall(bare)
     short = sum(len(w) <= 3 for w in words) / (len(words) or 1)
-    code = len(CODE.findall(LITERAL.sub("", body)))
+    code = len(CODE.findall(bare))
     if literal > 0.55 and code <= 2:
         e[blob] += 5 + 3 * (literal > 0.8)
-    elif len(lines) >= 6 and repeated > 0.7:
+    elif n_lines >= 6 and repeated > 0.7:
         e[generated] += 5
-    elif len(lines) >= 6 and repeated > 0.55:
+    elif n_lines >= 6 and repeated > 0.55:
         e[generated] += 1.5
     if language == "js" and average > 150 and code > 2:
         e[minified] += 4 + 2 * (short > 0.6)
     elif language == "js" and short > 0.72 and average > 60:
         e[minified] += 2
-    if 4 * len(ESCAPED.findall(body)) > 0.6 * letters or ENCODED.search(body) and longest > 2000:
+    if "\\x" in body and 4 * len(ESCAPED.findall(body)) > 0.6 * letters or longest > 2000 and ENCODED.search(body):
         e[blob] += 6
     if longest > 2000 and code <= 2:
         e[blob] += 3
@@ -113,6 +121,11 @@ def file_evidence(path: str, text: str) -> list[float]:
     return e
 
 
+def file_evidence(path: str, text: str) -> list[float]:
+    """Log evidence for each of ``LABELS``: the prior and the signs."""
+    return [p + s for p, s in zip(PRIOR, signs(path, text))]
+
+
 COMPATIBLE = np.full((len(LABELS), len(LABELS)), OTHER) + np.eye(len(LABELS)) * (SAME - OTHER)
 
 

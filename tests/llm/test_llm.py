@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessel.llm import queries as q
 from tessel.llm.gll import EOF, Grammar
 from tessel.llm.grammars import parses
-from tessel.llm.labels import file_evidence, label_files
+from tessel.llm.labels import LABELS, file_evidence, label_files
 from tessel.llm.leakage import WindowIndex, edit_distance, find_leaks, words
 from tessel.llm.packing import best_fit_decreasing, count_with_tokenizer, lower_bound, pack, token_count
 from tessel.llm.spans import Grams, SuffixAutomaton, classes, document_shares, find_pairs, in_blocks, shared_spans, winnow
@@ -103,6 +103,27 @@ def test_labels(spark):
     assert len(file_evidence("a.py", "x" * 200_000)) == 5
 
 
+def test_surroundings_decide_where_the_file_does_not(spark):
+    """Belief propagation against the files' own evidence, on trees whose directories are of one kind."""
+    rng = random.Random(6)
+    head = "/* Copyright 2019 The Pell Authors. Licensed under MIT. */\n"
+    plain = "var a{0} = {{}};\na{0}.x = {0};\n"
+    rows, true = [], {}
+    for d in range(40):
+        kind = "vendored" if d % 2 else "hand"
+        for f in range(8):
+            i = d * 8 + f
+            signed = kind == "vendored" and f < 5  # three of eight copies lost their head
+            wordy = f"function readLines(path, done) {{\n  const found = open(path);\n  if (!found) {{\n    return done(new Error('gone'), {f});\n  }}\n  for (const line of found.lines()) {{\n    this.count += line.length;\n  }}\n  return done(null, this.count > 0 ? found : undefined);\n}}\n"
+            rows.append((i, f"/srv/p/repo{d % 3}/mod{d}/static/src/pell{d}/f{f}.js", (head if signed else "") + (wordy if kind == "hand" else plain.format(rng.randrange(9)))))
+            true[i] = kind
+    df = spark.createDataFrame(rows, "file_id long, path string, content string")
+    together = {r.file_id: r.label for r in label_files(df).collect()}
+    alone = {i: LABELS[max(range(5), key=file_evidence(p, t).__getitem__)] for i, p, t in rows}
+    right = lambda got: sum(got[i] == k for i, k in true.items()) / len(true)
+    assert right(together) == 1.0 and right(alone) < 0.85
+
+
 # ---- survivors
 
 
