@@ -3,12 +3,15 @@
 Every rule is compiled to a deterministic automaton whose edges are terminals, rules and zero-width
 conditions on the next token.  A descriptor is (automaton state, stack node, position); stack nodes
 are shared per (rule, position), so ambiguous and left-recursive grammars take polynomial time and
-plain ones run in a tight loop.  Several start rules (dialects) run together over one shared stack.
+plain ones run in a tight loop: as long as one descriptor is alone, nobody can share its stack nodes,
+so its calls are plain pairs, and all that a state does on a token up to the next shift is looked up
+at once.  Several start rules (dialects) run together over one shared stack.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 
 EOF = "EOF"
 SHIFT, CALL, POP, JUMP, MANY = range(5)
@@ -22,6 +25,13 @@ class _Node:
         self.pops: list[int] = []
         self.root = root
 
+    @classmethod
+    def around(cls, pair: tuple) -> _Node:
+        """A node that descriptors can share, in place of a lone one's pair."""
+        node = cls()
+        node.edges[pair] = None
+        return node
+
 
 class Grammar:
     """``rules``: ``Name = expression ;`` with ``'terminal'``, ``|``, ``? * +``, groups.
@@ -232,14 +242,36 @@ class Grammar:
                     found.append((POP,))
                 row[t] = found[0] if len(found) == 1 else (MANY, tuple(found)) if found else None
             self.acts.append(row)
+        self.lone: list[list] = [[False] * size for _ in range(n)]
 
     # ---- the recogniser
 
+    def _lone(self, s: int, t: int) -> tuple | None:
+        """What a lone descriptor in a state does on a token: (kind, return states it pushes, next state)."""
+        pushed: list[int] = []
+        for _ in range(10 * len(self.names)):
+            act = self.acts[s][t]
+            if act is None:
+                return None
+            kind = act[0]
+            if kind == SHIFT:
+                return SHIFT, tuple(pushed), act[1]
+            if kind == CALL:
+                pushed.append(act[2])
+                s = self.entry[act[1]]
+            elif kind == JUMP:
+                s = act[1]
+            elif kind == POP and pushed:
+                s = pushed.pop()
+            else:
+                return kind, tuple(pushed), s
+        return MANY, tuple(pushed), s
+
     def accepts(self, toks: list[int]) -> bool:
         """Whether any start rule derives the whole list, which must end with the number of EOF."""
-        acts, entry, width = self.acts, self.entry, len(self.names)
+        acts, entry, width, lone = self.acts, self.entry, len(self.names), self.lone
         stack: dict[int, _Node] = {}
-        work: list[tuple] = []
+        work: deque = deque()
         last = len(toks)
         for rule in self.starts:
             node = stack[rule] = _Node(True)
@@ -248,13 +280,39 @@ class Grammar:
             s, node, i, act = work.pop()
             while True:
                 if act is None:
-                    if i >= last:
-                        if node.root and self.final[s]:
+                    if not work:  # alone: stack nodes are pairs (return state, node below)
+                        while i < last:
+                            row = lone[s]
+                            t = toks[i]
+                            step = row[t]
+                            if step is False:
+                                step = row[t] = self._lone(s, t)
+                            if step is None:
+                                break
+                            kind, pushed, s = step[0], step[1], step[2]
+                            for back in pushed:
+                                node = (back, node)
+                            if kind == SHIFT:
+                                i += 1
+                            elif kind == POP and type(node) is tuple:
+                                s, node = node
+                            else:
+                                break
+                        else:
+                            if type(node) is not tuple and node.root and self.final[s]:
+                                return True
+                            break
+                        if step is None:
+                            break
+                    elif i >= last:
+                        if type(node) is not tuple and node.root and self.final[s]:
                             return True
                         break
                     act = acts[s][toks[i]]
                     if act is None:
                         break
+                if type(node) is tuple:
+                    node = _Node.around(node)
                 kind = act[0]
                 if kind == SHIFT:
                     s = act[1]
@@ -265,21 +323,26 @@ class Grammar:
                     if child is None:
                         child = stack[key] = _Node()
                         child.edges[act[2], node] = None
-                        s, node = entry[act[1]], child
+                        # those that wait may call it too, and then it goes on alone
+                        work.appendleft((entry[act[1]], child, i, None))
                     else:
                         edge = (act[2], node)
                         if edge not in child.edges:
                             child.edges[edge] = None
                             for p in child.pops:
                                 work.append((act[2], node, p, None))
-                        break
+                    break
                 elif kind == POP:
                     if i in node.pops:
                         break
                     node.pops.append(i)
                     edges = node.edges
                     if len(edges) == 1:
-                        ((s, node),) = edges
+                        ((s, up),) = edges
+                        if type(up) is tuple:
+                            up = _Node.around(up)
+                            node.edges = {(s, up): None}
+                        node = up
                     else:
                         for s, up in edges:
                             work.append((s, up, i, None))

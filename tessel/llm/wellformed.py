@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import warnings
-import xml.parsers.expat
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,28 +12,9 @@ from tessel.llm.grammars import DIALECTS, parses
 from tessel.session import spread
 
 
-def _exact(text: str, extension: str) -> bool:
-    """The language's own parser, for texts the grammars reject; JavaScript has none here."""
-    if extension == "py":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text.removeprefix("﻿"))
-            return True
-        except (SyntaxError, ValueError, RecursionError, MemoryError, UnicodeError):
-            return False
-    if extension == "xml":
-        try:
-            xml.parsers.expat.ParserCreate("utf-8").Parse(text.encode(), True)
-            return True
-        except (xml.parsers.expat.ExpatError, UnicodeError, ValueError):
-            return False
-    return False
-
-
 def well_formed(text: str, extension: str) -> bool:
-    """Whether a dialect's grammar derives the text; a rejection is confirmed by the exact parser."""
-    return parses(text, extension) or _exact(text, extension)
+    """Whether a dialect's grammar derives the text."""
+    return parses(text, extension)
 
 
 def check_files(files: DataFrame, key: str = "file_id", path: str = "path", content: str = "content", group: str = "repo") -> DataFrame:
@@ -44,13 +22,15 @@ def check_files(files: DataFrame, key: str = "file_id", path: str = "path", cont
 
     The extension decides, in any case of letters; other files are not judged.  Null content and
     null paths are not judged either; an empty text is judged as a text (no XML document).  Texts
-    are parsed whole, whatever their length and nesting; repeated rows each give a row; further
-    columns are not read.  No shuffle where the input has as many splits as the session has cores.
+    are parsed whole, whatever their length and nesting; repeated rows each give a row; texts that
+    occur several times in a batch are parsed once; further columns are not read.  No shuffle where the input has as many splits as the session has cores.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["well_formed"] = [well_formed(t, e) for t, e in zip(batch.pop("content"), batch["language"])]
+            texts = list(zip(batch.pop("content"), batch["language"]))
+            known = {t: well_formed(*t) for t in set(texts)}
+            batch["well_formed"] = [known[t] for t in texts]
             yield batch
 
     language = F.lower(F.regexp_extract(F.col(f"`{path}`"), r"\.([^./]+)$", 1))

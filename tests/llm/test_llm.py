@@ -32,14 +32,14 @@ def test_gll_ambiguous_and_left_recursive():
 
 
 GOOD = {
-    "py": ["", "x = 1\n", "match x:\n    case {'a': 1, **r} | [1, *_] if x: pass\n", "def f[T: int](a, /, b=1, *c, d, **e) -> int:\n    return (yield)\n", "f'{x!r:>{w}} {y=}'\n", "try:\n  pass\nexcept* E as e:\n  pass\n", "type X = int\ntype = 3\nmatch = type\n", "lambda *a, k=1: (b := a)\n", "a = b = *c, d\nx[1:2, ::3] += 1\n", "with (open(a) as b, c):\n    pass\n", "print(*a, **b, sep='')\n", "async def f():\n    async for x in y: await z\n"],
-    "js": ["", "let a = b / c / d;", "x = /[/]\\//g.test(y)", "a\n++b", "const {a = 1, ...r} = o, [x, , y] = z", "class A extends B { #p = 1; static { f() } get x() { return this.#p } async *g() {} }", "`a${b}c${`d`}`", "for (const [k, v] of m) { label: while (1) break label }", "export default class {}", "import a, {b as c} from 'd'", "x = a ?? b?.c?.[0]?.()", "(a, b = 1, ...c) => ({})", "async x => await y", "if (a) b\nelse c", "do x(); while (y) z()", "var let1 = { async *a() {}, get: 1, set b(v) {}, [c]: d, e }", "({a, b: [c]} = d)"],
+    "py": ["", "x = 1\n", "match x:\n    case {'a': 1, **r} | [1, *_] if x: pass\n", "def f[T: int](a, /, b=1, *c, d, **e) -> int:\n    return (yield)\n", "f'{x!r:>{w}} {y=}'\n", "try:\n  pass\nexcept* E as e:\n  pass\n", "type X = int\ntype = 3\nmatch = type\n", "lambda *a, k=1: (b := a)\n", "a = b = *c, d\nx[1:2, ::3] += 1\n", "with (open(a) as b, c):\n    pass\n", "print(*a, **b, sep='')\n", "async def f():\n    async for x in y: await z\n", "x: lambda a: b = 3\nlambda a=1: a\n", "match: int = 3\ncase = type = 4\n", "if x: y: int = 1; z = 2\n", "a.b[c](d).e = f = yield g\n", "print(f'{x = } {a,b=}')\n"],
+    "js": ["", "let a = b / c / d;", "x = /[/]\\//g.test(y)", "a\n++b", "const {a = 1, ...r} = o, [x, , y] = z", "class A extends B { #p = 1; static { f() } get x() { return this.#p } async *g() {} }", "`a${b}c${`d`}`", "for (const [k, v] of m) { label: while (1) break label }", "export default class {}", "import a, {b as c} from 'd'", "x = a ?? b?.c?.[0]?.()", "(a, b = 1, ...c) => ({})", "async x => await y", "if (a) b\nelse c", "do x(); while (y) z()", "a = b.c[d](e).f = [g, h.i = 1] = j", "for ([a.b, {c}] of d) e ||= f", "`a${b}`.c = d", "(-1) ** 2 ** -3", "a ?? b ?? c", "if (a) function f() {}", "async (a = 1, {b}) => c => d", "x: { y: z ? w : v }", "'\\u{10ffff}'", "var let1 = { async *a() {}, get: 1, set b(v) {}, [c]: d, e }", "({a, b: [c]} = d)"],
     "xml": ["<a/>", '<?xml version="1.0"?><!-- c --><a b="1&amp;"><![CDATA[<<]]>&#65;<b/></a>\n', '<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>', "<a:b xmlns:a='u'/>"],
     "csv": ["", "a,b\n1,2\n", 'a,b\r\n"x ""q"" \n y",\r\n', "one"],
 }
 BAD = {
-    "py": ["x = ", "def f(\n", "print 'x'\n", "<<<<<<< HEAD\nx = 1\n=======\n", "raise A, b\n", "if x\n    pass\n", "x = 'abc\n", "f() = 1\n", "  x = 1\n y = 2\n", "a b\n", "for x in y\n    pass\n", "f(a=1, b)\n", "\0"],
-    "js": ["let a = ;", "{", "function (", "a b", '{"a": 1}', "x = {a: 1,", "<<<<<<< HEAD", "interface A { b: string }", "return 1", "const a;", "`abc", "if (a) else b", "1 = 2", "import a from b", "/* open", "class A { x: number }", "x = 'a\nb'"],
+    "py": ["x = ", "def f(\n", "print 'x'\n", "<<<<<<< HEAD\nx = 1\n=======\n", "raise A, b\n", "if x\n    pass\n", "x = 'abc\n", "f() = 1\n", "  x = 1\n y = 2\n", "a b\n", "for x in y\n    pass\n", "f(a=1, b)\n", "\0", "a + b = c\n", "a, b += c\n", "a += b = c\n", "(a, b): int\n", "def f(*): pass\n", "a := 1\n"],
+    "js": ["let a = ;", "{", "function (", "a b", '{"a": 1}', "x = {a: 1,", "<<<<<<< HEAD", "interface A { b: string }", "return 1", "const a;", "`abc", "if (a) else b", "1 = 2", "import a from b", "/* open", "class A { x: number }", "x = 'a\nb'", "-1 ** 2", "a ?? b || c", "1.e", "08n", "'\\u{110000}'", "f() = 1", "({a = 1})", "a + b = c"],
     "xml": ["", "text", "<a>", "<a></b>", "<a b=1/>", "<a b='1' b='2'/>", "<a>&x;</a>", "<a/><b/>", "<a>a & b</a>", "<a><!-- -- --></a>", " <?xml version='1.0'?><a/>", "<a b='<'/>", "<a>]]></a>"],
     "csv": ["a,b\n1\n", 'a,b\n"x,2\n', 'a"b,c\n', '"a"b,c\n', "a,b\n\n1,2\n", "a\rb\n"],
 }
