@@ -249,6 +249,7 @@ class Grammar:
     def _lone(self, s: int, t: int) -> tuple | None:
         """What a lone descriptor in a state does on a token: (kind, return states it pushes, next state)."""
         pushed: list[int] = []
+        first = s
         for _ in range(10 * len(self.names)):
             act = self.acts[s][t]
             if act is None:
@@ -263,9 +264,11 @@ class Grammar:
                 s = act[1]
             elif kind == POP and pushed:
                 s = pushed.pop()
+            elif kind == POP and s == first:
+                return POP, (), s
             else:
-                return kind, tuple(pushed), s
-        return MANY, tuple(pushed), s
+                break
+        return MANY, (), first
 
     def accepts(self, toks: list[int]) -> bool:
         """Whether any start rule derives the whole list, which must end with the number of EOF."""
@@ -289,14 +292,15 @@ class Grammar:
                                 step = row[t] = self._lone(s, t)
                             if step is None:
                                 break
-                            kind, pushed, s = step[0], step[1], step[2]
-                            for back in pushed:
-                                node = (back, node)
+                            kind = step[0]
                             if kind == SHIFT:
+                                for back in step[1]:
+                                    node = (back, node)
+                                s = step[2]
                                 i += 1
                             elif kind == POP and type(node) is tuple:
                                 s, node = node
-                            else:
+                            else:  # calls on the way to a fork are shared, or nullable rules would never end
                                 break
                         else:
                             if type(node) is not tuple and node.root and self.final[s]:
