@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+def bfs(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """``(start, node, depth)``: nodes within ``depth`` hops of each start, by the fewest hops.
 
-    ``starts(start)``; cycles end at visited nodes; lineage is cut every round.
+    ``starts(start)``; without a depth the walk goes on until it finds nothing new; cycles end at
+    visited nodes; lineage is cut every round.
     """
     edges = edges.select("src", "dst").distinct()
+    edges = cut(edges) if depth is None or depth > 1 else edges
     front = cut(starts.select("start", F.col("start").alias("node")).distinct())
     seen = front.withColumn("depth", F.lit(0))
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         step = front.join(edges, front.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if front.isEmpty():
@@ -29,9 +33,9 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def closure(edges: DataFrame, most: int = 32) -> DataFrame:
-    """``(start, node, depth)`` for every node with an outgoing edge, without the node itself."""
-    return bfs(edges, edges.select(F.col("src").alias("start")), most).where("depth > 0")
+def closure(edges: DataFrame) -> DataFrame:
+    """``(start, node, depth)`` for every node with an outgoing edge, without the node itself, however far."""
+    return bfs(edges, edges.select(F.col("src").alias("start"))).where("depth > 0")
 
 
 def relations(edges: DataFrame, start: str, depth: int) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.session import shared_folder
@@ -115,7 +115,3 @@ def scan_changes(scans: DataFrame, results: DataFrame, projects: DataFrame, fold
     current = rows.groupBy("project_name", "path").agg(pick.alias("s")).select("project_name", "path", F.col("s.content_hash").alias("content_hash"), (-F.col("s.neg")).alias("scan_id"))
     return changed(current, state.read(), ["project_name", "path"])
 
-
-def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """The last row of each key (ties must be broken by ``order``)."""
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))).where("__rn = 1").drop("__rn")

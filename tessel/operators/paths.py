@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def resolve_dotted(paths: DataFrame, fields: DataFrame, most: int = 4) -> DataFrame:
+def resolve_dotted(paths: DataFrame, fields: DataFrame) -> DataFrame:
     """Follow ``a.b.c`` from a model over relational fields.
 
     ``paths(path_id, model, path)``, ``fields(model, field, comodel, field_type)`` unique by model
     and field.  Adds the terminal model, field and type, ``fully_resolved`` and ``broken_at``; each
-    part is one join with the field table.
+    part is one join with the field table, for as many parts as the longest path has.  A null path
+    is neither resolved nor broken.
     """
+    most = paths.agg(F.max(F.size(F.split("path", r"\.")))).first()[0] or 0
     f = fields.select(F.col("model").alias("__model"), F.col("field").alias("__field"), F.col("comodel").alias("__comodel"), F.col("field_type").alias("__type"))
     cur = paths.select("path_id", "model", "path").withColumn("parts", F.split("path", r"\."))
     cur = cur.withColumn("cur", F.col("model")).withColumn("terminal_model", F.lit(None).cast("string")).withColumn("terminal_field", F.lit(None).cast("string")).withColumn("terminal_type", F.lit(None).cast("string")).withColumn("broken_at", F.lit(None).cast("string"))
@@ -47,6 +49,3 @@ def longest_prefix(items: DataFrame, item: str, prefixes: DataFrame, prefix: str
     best = hits.groupBy(item).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
     return items.join(best, item, "left")
 
-
-def ordered_distinct(values: Column) -> Column:
-    return F.array_distinct(values)

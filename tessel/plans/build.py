@@ -40,7 +40,7 @@ def derive(rows: DataFrame) -> dict[str, DataFrame]:
     t["context_dependencies"] = t["methods"].select("model", F.col("name").alias("method"), F.explode("depends_context").alias("context_key"), "module").where("context_key <> ''")
     lookup = t["fields"].groupBy("model", F.col("name").alias("field")).agg(F.max_by("comodel", "seq").alias("comodel"), F.max_by("field_type", "seq").alias("field_type"))
     related = t["fields"].where("related like '%.%'").select(F.concat_ws("|", "model", "name", "module").alias("path_id"), "model", F.col("related").alias("path"))
-    t["related_paths"] = resolve_dotted(related, lookup, most=5)
+    t["related_paths"] = resolve_dotted(related, lookup)
     cron = t["crons"].select("model", F.regexp_extract("method", r"(\w+)\s*(?:\(|$)", 1).alias("name")).distinct().withColumn("is_cron_target", F.lit(True))
     t["methods"] = t["methods"].join(cron, ["model", "name"], "left").withColumn("is_cron_target", F.coalesce("is_cron_target", F.lit(False)))
     action = ignore_by_key(t["actions"].where("xml_id is not null"), ["xml_id"], ["seq"]).select(F.col("xml_id").alias("action"), F.col("res_model").alias("action_model"))

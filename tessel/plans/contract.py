@@ -50,22 +50,10 @@ def q_append_no_key(s, d):
     return e.where("event_type = 'click'").select("user_id").unionAll(e.where("value > 5").select("user_id")).groupBy("user_id").agg(n())
 
 
-@contract("""SELECT coalesce(n.k, o.k) AS k, coalesce(n.amount, o.amount) AS amount, o.segment AS segment, n.orders AS orders
-FROM (SELECT c_custkey AS k, c_acctbal AS amount, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 <> 0) o
-FULL OUTER JOIN (SELECT o_custkey AS k, max(o_totalprice) AS amount, count(*) AS orders FROM orders GROUP BY 1) n ON o.k = n.k""")
-def q_merge_partial(s, d):
-    old = table(s, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("segment"))
-    new = table(s, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("amount"), n("orders"))
-    return upsert.merge_partial(old, new, ["k"])
-
-
-# q_merge_partial, q_change_set and q_state_merge, and their SQL, run on parts of the tables; the queries named _whole on whole ones.
-
-
 @contract("""SELECT coalesce(n.k, o.k) AS k, coalesce(n.amount, o.amount) AS amount, o.segment AS segment, n.orders AS orders
 FROM (SELECT c_custkey AS k, c_acctbal AS amount, c_mktsegment AS segment FROM customer) o
 FULL OUTER JOIN (SELECT o_custkey AS k, max(o_totalprice) AS amount, count(*) AS orders FROM orders GROUP BY 1) n ON o.k = n.k""")
-def q_merge_partial_whole(s, d):
+def q_merge_partial(s, d):
     old = table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("segment"))
     new = table(s, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("amount"), n("orders"))
     return upsert.merge_partial(old, new, ["k"])
@@ -102,24 +90,12 @@ def q_group_hash(s, d):
     return diff.group_hash(table(s, d, "documents"), "source", F.col("doc_id"), F.col("text"))
 
 
-@contract("""WITH c AS (SELECT module_name AS m, md5(string_agg(file_id || ':' || md5(content), chr(10) ORDER BY file_id)) AS h FROM source_files WHERE module_name IS NOT NULL AND seq > 1 GROUP BY 1),
-o AS (SELECT module_name AS m, md5(string_agg(file_id || ':' || md5(content), chr(10) ORDER BY file_id)) AS h FROM source_files WHERE module_name IS NOT NULL AND (seq > 1 AND seq < 5) GROUP BY 1)
-SELECT coalesce(o.m, c.m) AS module_name, CASE WHEN o.m IS NULL THEN 'new' WHEN c.m IS NULL THEN 'deleted' WHEN o.h = c.h THEN 'unchanged' ELSE 'changed' END AS state FROM o FULL OUTER JOIN c ON o.m = c.m""")
-def q_change_set(s, d):
-    files = table(s, d, "source_files").where("module_name is not null and seq > 1")
-
-    def hashes(rows: DataFrame) -> DataFrame:
-        return diff.group_hash(rows, "module_name", F.col("file_id"), F.col("content"))
-
-    return diff.change_set(hashes(files.where("seq < 5")), hashes(files), "module_name")
-
-
 @contract("""WITH w AS (SELECT project_name, max(cutoff_at) AS w FROM index_results WHERE finished_at IS NOT NULL GROUP BY 1),
 s AS (SELECT *, project_name || ':' || coalesce(module_name, path) AS m FROM module_scans WHERE project_name IS NOT NULL),
 c AS (SELECT m, md5(string_agg(scan_id || ':' || md5(module_hash), chr(10) ORDER BY scan_id)) AS h FROM s GROUP BY 1),
 o AS (SELECT m, md5(string_agg(scan_id || ':' || md5(module_hash), chr(10) ORDER BY scan_id)) AS h FROM s JOIN w ON w.project_name = s.project_name WHERE arrived_at <= w GROUP BY 1)
 SELECT coalesce(o.m, c.m) AS module, CASE WHEN o.m IS NULL THEN 'new' WHEN c.m IS NULL THEN 'deleted' WHEN o.h = c.h THEN 'unchanged' ELSE 'changed' END AS state FROM o FULL OUTER JOIN c ON o.m = c.m""")
-def q_change_set_whole(s, d):
+def q_change_set(s, d):
     """Modules of each project by the scans that had arrived by its last finished run's cutoff and those there are."""
     module = F.concat("project_name", F.lit(":"), F.coalesce("module_name", "path"))
     scans = table(s, d, "module_scans").where("project_name is not null").withColumn("module", module)
@@ -216,7 +192,10 @@ def q_context_top_modules(s, d):
     return table(s, d, "addon_models").where("module_name is not null").groupBy("module_name").agg(n()).orderBy(F.desc("n"), "module_name").limit(10)
 
 
-COUNTED = ("addon_modules", "addon_models", "model_fields", "model_methods", "view_records", "view_element_refs", "menu_records", "source_files", "documents", "events", "orders", "lineitem")
+COUNTED = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "addon_modules", "addon_models", "model_fields", "model_methods", "view_records", "view_element_refs", "menu_records",
+    "index_projects", "index_results", "module_scans", "source_files", "view_dumps", "eval_items", "core_registry",
+)
 
 
 @contract(" UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in COUNTED))
@@ -341,17 +320,18 @@ def q_regex_flag(s, d):
     return table(s, d, "source_files").where(F.rlike("content", F.lit(r"raise\s+(?:UserError|ValidationError)\b"))).select("file_id")
 
 
-STATE = [r"""['"]state['"]\s*:\s*['"](\w+)['"]""", r"""\.state\s*=\s*['"](\w+)['"]""", r"""\.(?:state|status|stage_id|kanban_state)\s*=\s*['"](\w+)['"]"""]
+IMPORTS = [r"(?m)^from\s+([\w.]+)\s+import\b", r"(?m)^import\s+([\w.]+)", r"(?m)^\s+(?:from|import)\s+([\w.]+)"]
 
 
 @contract(
-    "SELECT st, count(*) AS n FROM ("
-    + " UNION ALL ".join("SELECT unnest(regexp_extract_all(content, '" + p.replace("'", "''") + "', 1)) AS st FROM source_files WHERE path LIKE '%.py'" for p in STATE)
+    "SELECT module, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT unnest(regexp_extract_all(content, '{p}', 1)) AS module FROM source_files WHERE path LIKE '%.py'" for p in IMPORTS)
     + ") GROUP BY 1"
 )
 def q_regex_multi_concat(s, d):
-    hits = F.concat(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in STATE))
-    return table(s, d, "source_files").where("path like '%.py'").select(F.explode(hits).alias("st")).groupBy("st").agg(n())
+    """Modules that Python files import, by several patterns over each text."""
+    hits = F.concat(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in IMPORTS))
+    return table(s, d, "source_files").where("path like '%.py'").select(F.explode(hits).alias("module")).groupBy("module").agg(n())
 
 
 @contract(r"""SELECT m, count(*) AS n, count(DISTINCT file_id) AS files FROM (SELECT file_id, unnest(regexp_extract_all(content, 'orm\.call\(\s*"([^"]+)"', 1)) AS m FROM source_files WHERE path LIKE '%.js') GROUP BY 1""")
@@ -410,18 +390,8 @@ def q_state_machine(s, d):
     return counts.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("states"), F.sum("c").alias("n"))
 
 
-@contract("""SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS states FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0 UNION SELECT user_id, event_type FROM events WHERE value > 20) GROUP BY 1""")
-def q_state_merge(s, d):
-    def machine(where: str, name: str) -> DataFrame:
-        return table(s, d, "events").where(where).groupBy("user_id").agg(F.collect_set("event_type").alias(name))
-
-    empty = F.array().cast("array<string>")
-    both = machine("event_id % 2 = 0", "a").join(machine("value > 20", "b"), "user_id", "full_outer")
-    return both.select("user_id", F.array_join(F.array_sort(F.array_union(F.coalesce("a", empty), F.coalesce("b", empty))), ",").alias("states"))
-
-
 @contract("""SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS states FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1""")
-def q_state_merge_whole(s, d):
+def q_state_merge(s, d):
     """The machines of events of high value and of all others, merged."""
 
     def machine(where: str, name: str) -> DataFrame:
@@ -509,15 +479,6 @@ def q_degree_hint(s, d):
     return graph.degrees(fk_edges(s, d)).orderBy(F.desc("degree"), "node").limit(1)
 
 
-INHERIT_SQL = """inh AS (SELECT DISTINCT trim(name) AS src, trim(inherit_model) AS dst FROM addon_models WHERE regexp_full_match(trim(inherit_model), '[\\w.]+') AND trim(name) <> trim(inherit_model))"""
-
-
-def inheritance(s: SparkSession, d: str) -> DataFrame:
-    """Child-parent edges over models, self-links dropped, from fields holding one plain name."""
-    rows = table(s, d, "addon_models").select(F.trim("name").alias("src"), F.trim("inherit_model").alias("dst"))
-    return rows.where(F.rlike("dst", F.lit(r"^[\w.]+$")) & (F.col("src") != F.col("dst"))).distinct()
-
-
 MEMBERS_SQL = "mem AS (SELECT DISTINCT lower(trim(model_name)) AS model, lower(trim(method_name)) AS member FROM model_methods)"
 
 
@@ -541,68 +502,55 @@ def overridden_members(s: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     return members.join(up, "model").join(theirs, ["anc", "member"]).groupBy("model", "member").agg(F.count_distinct("anc").alias("overrides"))
 
 
-@contract(f"""WITH RECURSIVE {INHERIT_SQL}, {MEMBERS_SQL}, up(src, anc) AS (SELECT src, dst FROM inh UNION SELECT up.src, inh.dst FROM up JOIN inh ON inh.src = up.anc)
-SELECT DISTINCT up.src AS model, mem.member, up.anc AS inherited_from FROM up JOIN mem ON mem.model = up.anc WHERE up.src <> up.anc AND NOT EXISTS (SELECT 1 FROM mem o WHERE o.model = up.src AND o.member = mem.member)""")
-def q_closure_members(s, d):
-    return inherited_members(s, d, inheritance(s, d))
-
-
-@contract(f"""WITH RECURSIVE {INHERIT_SQL}, {MEMBERS_SQL}, up(src, anc) AS (SELECT src, dst FROM inh UNION SELECT up.src, inh.dst FROM up JOIN inh ON inh.src = up.anc)
-SELECT o.model, o.member, count(DISTINCT up.anc) AS overrides FROM mem o JOIN up ON up.src = o.model JOIN mem a ON a.model = up.anc AND a.member = o.member WHERE up.src <> up.anc GROUP BY 1, 2""")
-def q_override_detect(s, d):
-    return overridden_members(s, d, inheritance(s, d))
-
-
-# The two queries above and their SQL see fields with one plain name only; these two see all names of a field.
+INHERIT_SQL = """inh AS (SELECT DISTINCT src, dst FROM (SELECT trim(name) AS src, unnest(regexp_extract_all(inherit_model, '[\\w.]+')) AS dst FROM addon_models) WHERE src <> dst)"""
 
-ALL_INHERIT_SQL = """inh AS (SELECT DISTINCT src, dst FROM (SELECT trim(name) AS src, unnest(regexp_extract_all(inherit_model, '[\\w.]+')) AS dst FROM addon_models) WHERE src <> dst)"""
 
-
-def all_inheritance(s: SparkSession, d: str) -> DataFrame:
+def inheritance(s: SparkSession, d: str) -> DataFrame:
     """Child-parent edges over models, self-links dropped, from every name the fields hold."""
     rows = table(s, d, "addon_models").select(F.trim("name").alias("src"), F.explode(packed_values(F.col("inherit_model"))).alias("dst"))
     return rows.where(F.col("src") != F.col("dst")).distinct()
 
 
-@contract(f"""WITH RECURSIVE {ALL_INHERIT_SQL}, {MEMBERS_SQL}, up(src, anc) AS (SELECT src, dst FROM inh UNION SELECT up.src, inh.dst FROM up JOIN inh ON inh.src = up.anc)
+@contract(f"""WITH RECURSIVE {INHERIT_SQL}, {MEMBERS_SQL}, up(src, anc) AS (SELECT src, dst FROM inh UNION SELECT up.src, inh.dst FROM up JOIN inh ON inh.src = up.anc)
 SELECT DISTINCT up.src AS model, mem.member, up.anc AS inherited_from FROM up JOIN mem ON mem.model = up.anc WHERE up.src <> up.anc AND NOT EXISTS (SELECT 1 FROM mem o WHERE o.model = up.src AND o.member = mem.member)""")
-def q_closure_members_all(s, d):
-    return inherited_members(s, d, all_inheritance(s, d))
+def q_closure_members(s, d):
+    return inherited_members(s, d, inheritance(s, d))
 
 
-@contract(f"""WITH RECURSIVE {ALL_INHERIT_SQL}, {MEMBERS_SQL}, up(src, anc) AS (SELECT src, dst FROM inh UNION SELECT up.src, inh.dst FROM up JOIN inh ON inh.src = up.anc)
+@contract(f"""WITH RECURSIVE {INHERIT_SQL}, {MEMBERS_SQL}, up(src, anc) AS (SELECT src, dst FROM inh UNION SELECT up.src, inh.dst FROM up JOIN inh ON inh.src = up.anc)
 SELECT o.model, o.member, count(DISTINCT up.anc) AS overrides FROM mem o JOIN up ON up.src = o.model JOIN mem a ON a.model = up.anc AND a.member = o.member WHERE up.src <> up.anc GROUP BY 1, 2""")
-def q_override_detect_all(s, d):
-    return overridden_members(s, d, all_inheritance(s, d))
-
-
-FIELD_TABLE = [("lineitem", "order", "orders", "many2one"), ("lineitem", "qty", None, "float"), ("orders", "customer", "customer", "many2one"), ("customer", "nation", "nation", "many2one"), ("nation", "name", None, "char")]
-PATHS = [("order.customer.nation.name",), ("order.customer",), ("order.gone.nation",), ("qty.nation",), ("order.customer.nation",)]
-
-
-@contract("""SELECT path_id, path, terminal_model, terminal_field, terminal_type, fully_resolved, broken_at FROM (VALUES
-(0, 'order.customer.nation.name', 'nation', 'name', 'char', true, NULL), (1, 'order.customer', 'orders', 'customer', 'many2one', true, NULL), (2, 'order.gone.nation', NULL, NULL, NULL, false, 'orders.gone'),
-(3, 'qty.nation', NULL, NULL, NULL, false, 'lineitem.qty (no comodel)'), (4, 'order.customer.nation', 'customer', 'nation', 'many2one', true, NULL)) t(path_id, path, terminal_model, terminal_field, terminal_type, fully_resolved, broken_at)""")
-def q_path_broken(s, d):
-    fields = s.createDataFrame(FIELD_TABLE, "model string, field string, comodel string, field_type string")
-    rows = s.createDataFrame([(i, "lineitem", *p) for i, p in enumerate(PATHS)], "path_id int, model string, path string")
-    return paths.resolve_dotted(rows, fields).drop("model")
+def q_override_detect(s, d):
+    return overridden_members(s, d, inheritance(s, d))
 
 
-RELATED_SQL = """f AS (SELECT model_name AS model, field_name AS field, arg_max(comodel_name, field_id) AS comodel, arg_max(field_type, field_id) AS ft FROM (SELECT field_id, model_name, field_name, coalesce(comodel_name, '') AS comodel_name, coalesce(field_type, '') AS field_type FROM model_fields) GROUP BY 1, 2),
-p AS (SELECT field_id AS path_id, model_name AS model, related AS path, split_part(related, '.', 1) AS a, split_part(related, '.', 2) AS b FROM model_fields WHERE regexp_full_match(related, '\\w+\\.\\w+'))"""
+RELATED_SQL = """WITH RECURSIVE f AS (SELECT model_name AS model, field_name AS field, nullif(arg_max(coalesce(comodel_name, ''), field_id), '') AS comodel, arg_max(coalesce(field_type, ''), field_id) AS ft FROM model_fields GROUP BY 1, 2),
+p AS (SELECT field_id AS path_id, model_name AS model, related AS path, string_split(related, '.') AS parts FROM model_fields WHERE regexp_full_match(related, '\\w+(\\.\\w+)+') AND model_name IS NOT NULL),
+w(path_id, path, parts, k, cur, tm, tf, tt, broken) AS (SELECT path_id, path, parts, 0, model, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM p
+UNION ALL SELECT path_id, path, parts, k + 1, comodel, CASE WHEN k + 1 = len(parts) THEN f.model END, CASE WHEN k + 1 = len(parts) THEN f.field END, CASE WHEN k + 1 = len(parts) THEN ft END,
+  CASE WHEN f.field IS NULL THEN cur || '.' || parts[k + 1] WHEN k + 1 < len(parts) AND comodel IS NULL THEN cur || '.' || parts[k + 1] || ' (no comodel)' END
+  FROM w LEFT JOIN f ON f.model = w.cur AND f.field = w.parts[w.k + 1] WHERE broken IS NULL AND k < len(parts)),
+l AS (SELECT * FROM w WHERE broken IS NOT NULL OR k = len(parts))
+"""
 
 
-@contract(f"""WITH {RELATED_SQL} SELECT path_id, path, g.model AS terminal_model, g.field AS terminal_field, g.ft AS terminal_type, g.field IS NOT NULL AS fully_resolved,
-CASE WHEN f1.field IS NULL THEN p.model || '.' || a WHEN f1.comodel = '' THEN p.model || '.' || a || ' (no comodel)' WHEN g.field IS NULL THEN f1.comodel || '.' || b END AS broken_at
-FROM p LEFT JOIN f f1 ON f1.model = p.model AND f1.field = a LEFT JOIN f g ON g.model = nullif(f1.comodel, '') AND g.field = b WHERE p.model IS NOT NULL""")
-def q_path_resolve(s, d):
+def related_paths(s: SparkSession, d: str) -> DataFrame:
     m = table(s, d, "model_fields")
     empty = F.lit("")
     f = m.select(F.col("model_name").alias("model"), F.col("field_name").alias("field"), F.coalesce("comodel_name", empty).alias("c"), F.coalesce("field_type", empty).alias("t"), "field_id")
     f = f.groupBy("model", "field").agg(F.max_by("c", "field_id").alias("c"), F.max_by("t", "field_id").alias("field_type")).select("model", "field", F.nullif("c", empty).alias("comodel"), "field_type")
-    rows = m.where(F.rlike("related", F.lit(r"^\w+\.\w+$"))).select(F.col("field_id").alias("path_id"), F.col("model_name").alias("model"), F.col("related").alias("path")).where("model is not null")
-    return paths.resolve_dotted(rows, f, most=2).drop("model")
+    rows = m.where(F.rlike("related", F.lit(r"^\w+(\.\w+)+$"))).select(F.col("field_id").alias("path_id"), F.col("model_name").alias("model"), F.col("related").alias("path")).where("model is not null")
+    return paths.resolve_dotted(rows, f).drop("model")
+
+
+@contract(RELATED_SQL + "SELECT path_id, path, tm AS terminal_model, tf AS terminal_field, tt AS terminal_type, tf IS NOT NULL AS fully_resolved, broken AS broken_at FROM l")
+def q_path_resolve(s, d):
+    return related_paths(s, d)
+
+
+@contract(RELATED_SQL + "SELECT broken AS broken_at, count(*) AS n FROM l WHERE broken IS NOT NULL GROUP BY 1")
+def q_path_broken(s, d):
+    """Where related paths end in a field that is missing or leads nowhere."""
+    return related_paths(s, d).where("broken_at is not null").groupBy("broken_at").agg(n())
 
 
 @contract(f"""WITH {FK_SQL}, t AS (SELECT 'm:' || src AS src, 'm:' || dst AS dst, 'field_rel' AS type FROM fk UNION SELECT 'mod:' || src, 'mod:' || dst, 'depends' FROM ({DEPS_SQL.split(' AS ', 1)[1].strip()[1:-1]})) SELECT src, dst, type FROM t""")

@@ -33,11 +33,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's own, or a temporary one where none is set (tests)."""
+    """The folder all executors share: the session's own, or in local mode a temporary one where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessel-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -9,11 +9,18 @@ from tessel.functions.text import contains_ci, mermaid_id, suffix_or_equal
 from tessel.operators import fts, graph
 
 Tables = dict[str, DataFrame]
+#: Lines of a diagram; a longer one says that it is cut, and counts all edges.
+DIAGRAM_LINES = 2000
 
 
-def rows(df: DataFrame, limit: int = 1000) -> list[dict]:
-    """A tool's answer as dictionaries; answers about one entity are small, and the limit bounds them."""
-    return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+def rows(df: DataFrame, limit: int | None = None) -> list[dict]:
+    """A tool's answer as dictionaries: all that is said of one entity, or as many rows as the tool shows."""
+    return [r.asDict(recursive=True) for r in (df if limit is None else df.limit(limit)).collect()]
+
+
+def sparse(row: dict) -> dict:
+    """A row without what is missing, empty or false, as tools show it."""
+    return {k: v for k, v in row.items() if v not in (None, False, "", [], {})}
 
 
 def _unknown(t: Tables, model: str) -> dict | None:
@@ -23,7 +30,7 @@ def _unknown(t: Tables, model: str) -> dict | None:
     return {"error": f"model {model} is not indexed", "model": model, "suggestions": [r["name"] for r in near.limit(5).collect()]}
 
 
-def ancestors(t: Tables, model: str, depth: int = 16) -> DataFrame:
+def ancestors(t: Tables, model: str, depth: int | None = None) -> DataFrame:
     start = t["inherits"].sparkSession.createDataFrame([(model,)], "start string")
     return graph.bfs(t["inherits"], start, depth).where("depth > 0").select(F.col("node").alias("ancestor"), "depth")
 
@@ -47,14 +54,14 @@ def get_model_schema(t: Tables, model: str, compact_fields: bool = False, fields
     methods = t["methods"].where(F.col("model") == model)
     total = own.select("name").distinct().count()
     shown = own.orderBy("name", "module").limit(fields_limit)
-    fields = rows(shown.select(compact().alias("f")) if compact_fields else shown, fields_limit)
+    fields = rows(shown.select(compact().alias("f"))) if compact_fields else [sparse(r) for r in rows(shown)]
     up = ancestors(t, model)
     theirs = t["methods"].join(up, F.col("model") == F.col("ancestor"))
-    over = theirs.groupBy("name").agg(F.array_sort(F.collect_set("ancestor")).alias("overrides"))
+    over = theirs.groupBy("name").agg(F.array_sort(F.collect_set(F.struct(F.col("ancestor").alias("model"), "module"))).alias("overrides"))
     out_methods = rows(methods.join(over, "name", "left").select("name", "module", "decorators", "overrides").orderBy("name", "module"))
     if include_inherited:
         extra = t["fields"].join(up, F.col("model") == F.col("ancestor")).join(own.select("name"), "name", "left_anti")
-        fields += rows(extra.select(compact().alias("f"), F.col("ancestor").alias("inherited_from")) if compact_fields else extra.withColumn("inherited_from", F.col("ancestor")))
+        fields += [sparse(r) for r in rows((extra.select(compact().alias("f"), F.col("ancestor").alias("inherited_from")) if compact_fields else extra.withColumn("inherited_from", F.col("ancestor"))))]
         out_methods += rows(theirs.join(methods.select("name"), "name", "left_anti").select("name", "module", "decorators", F.col("ancestor").alias("inherited_from")).orderBy("name", "inherited_from"))
     added = own.groupBy("module").agg(F.array_sort(F.collect_set("name")).alias("added_fields"))
     extensions = rows(mine.where("inherit_type = 'extension'").join(added, "module", "left").select("module", "file", "line", "added_fields").orderBy("module"))
@@ -98,14 +105,17 @@ def analyze_change_impact(t: Tables, model: str, field: str | None = None, metho
 def get_method_logic(t: Tables, model: str, method: str) -> dict:
     """T4: the implementation that runs, all implementations, and what it overrides."""
     m = t["methods"].where(F.col("name") == method)
-    rich = [F.size("transitions") == 0, F.size("calls_models") == 0, F.col("module")]
+    rich = [F.size("transitions") == 0, ~F.col("raises_validation"), F.size("calls_models") == 0, F.col("module")]
     own = rows(m.where(F.col("model") == model).orderBy(*rich))
     above = rows(m.join(ancestors(t, model), F.col("model") == F.col("ancestor")).orderBy("depth", "ancestor", *rich))
     if not own and not above:
         return {"error": "no such method", "model": model, "method": method}
     run = (own or above)[0]
+    shown = own or [r for r in above if r["ancestor"] == run["ancestor"]]
+    marks = rows(t["decorators"].where((F.col("model") == run["model"]) & (F.col("method") == method) & (F.col("module") == run["module"])).orderBy("line").select("decorator", "args"))
+    run = run | {"decorators": [f"@{d['decorator']}({', '.join(repr(a) for a in d['args'])})" if d["args"] else f"@{d['decorator']}" for d in marks]}
     over = [{"model": r["ancestor"], "module": r["module"], "file": r["file"], "line": r["line"]} for r in above] if own else []
-    return run | {"model": model, "method": method, "is_inherited": not own, "resolved_on": run["model"], "is_override": bool(over), "overrides_from": over, "missing_super_call": bool(over) and not run["calls_super"], "all_implementations": [{"module": r["module"], "file": r["file"], "line": r["line"], "has_state_transitions": bool(r["transitions"])} for r in own]}
+    return run | {"model": model, "method": method, "is_inherited": not own, "resolved_on": run["model"], "is_override": bool(over), "overrides_from": over, "missing_super_call": bool(over) and not run["calls_super"], "all_implementations": [{"module": r["module"], "file": r["file"], "line": r["line"], "has_state_transitions": bool(r["transitions"])} for r in shown]}
 
 
 def get_state_machine(t: Tables, model: str) -> dict:
@@ -244,8 +254,9 @@ def get_model_graph(t: Tables, name: str, graph_type: str = "relations", depth:
     out = {"graph_type": graph_type, "name": name, "depth": depth, "format": output_format}
     if output_format == "json":
         return out | {"nodes": rows(nodes.orderBy("node")), "edges": rows(edges.orderBy("src", "dst", "label"))}
-    lines = [r["l"] for r in edges.orderBy("src", "dst", "label").select(line.alias("l")).distinct().orderBy("l").limit(2000).collect()]
-    return out | {"diagram": "\n".join([title, *lines]), "node_count": nodes.count(), "edge_count": len(lines)}
+    lines = edges.select(line.alias("l")).distinct()
+    total, shown = lines.count(), [r["l"] for r in lines.orderBy("l").limit(DIAGRAM_LINES).collect()]
+    return out | {"diagram": "\n".join([title, *shown]), "node_count": nodes.count(), "edge_count": total} | ({"truncated": True} if total > len(shown) else {})
 
 
 def get_project_context(t: Tables, focus_model: str | None = None) -> dict:
@@ -294,9 +305,12 @@ def trace_path(t: Tables, start: str, depth: int = 2, edge_types: tuple[str, ...
     kinds = {
         "field_rel": relation_edges(t).select(F.concat(lit("m:"), "src").alias("src"), F.concat(lit("m:"), "dst").alias("dst"), "label"),
         "inherit": t["inherits"].select(F.concat(lit("m:"), "src").alias("src"), F.concat(lit("m:"), "dst").alias("dst"), lit("inherits").alias("label")),
-        "compute": t["fields"].where("compute is not null").select(F.concat(lit("m:"), "model").alias("src"), F.concat(lit("f:"), "model", lit("."), "name").alias("dst"), c("compute").alias("label")),
+        "compute": t["fields"].where("compute is not null").select(F.explode(F.array(
+            F.struct(F.concat(lit("m:"), "model").alias("src"), F.concat(lit("mt:"), "model", lit("."), "compute").alias("dst"), lit("computes").alias("label")),
+            F.struct(F.concat(lit("mt:"), "model", lit("."), "compute").alias("src"), F.concat(lit("f:"), "model", lit("."), "name").alias("dst"), c("compute").alias("label")),
+        )).alias("x")).select("x.*").distinct(),
         "state": t["state_machines"].select("model", F.explode("transitions").alias("x")).select(F.concat(lit("m:"), "model").alias("src"), F.concat(lit("st:"), "model", lit(":"), "x.to_state").alias("dst"), c("x.method").alias("label")),
-        "action": t["actions"].where("res_model is not null and xml_id is not null").select(F.concat(lit("m:"), "res_model").alias("src"), F.concat(lit("ac:"), "xml_id").alias("dst"), c("action_type").alias("label")),
+        "action": t["actions"].where("res_model is not null and xml_id is not null").select(F.explode(F.array(F.struct(F.concat(lit("ac:"), "xml_id").alias("src"), F.concat(lit("m:"), "res_model").alias("dst"), c("action_type").alias("label")), F.struct(F.concat(lit("m:"), "res_model").alias("src"), F.concat(lit("ac:"), "xml_id").alias("dst"), lit("opened by").alias("label")))).alias("x")).select("x.*"),
     }
     edges = None
     for k in edge_types:
@@ -311,7 +325,9 @@ def trace_path(t: Tables, start: str, depth: int = 2, edge_types: tuple[str, ...
     spent = 15 * taken.count()
     room = max(0, (token_budget - spent) // 10)
     shown = rows(kept.orderBy("depth", "src", "dst", "type", "label").select(c("src").alias("from"), c("dst").alias("to"), "type", "label"), int(room) or 1) if room else []
-    all_nodes = rows(taken.orderBy("depth", "node").select(c("node").alias("id"), "depth"))
+    kind = F.when(c("node").startswith("m:"), "model").when(c("node").startswith("mt:"), "method").when(c("node").startswith("f:"), "field").when(c("node").startswith("st:"), "state").otherwise("action")
+    homes = t["models"].groupBy(F.concat(lit("m:"), "name").alias("node")).agg(F.min("module").alias("module"))
+    all_nodes = rows(taken.join(homes, "node", "left").orderBy("depth", "node").select(c("node").alias("id"), kind.alias("type"), F.regexp_replace("node", "^[a-z]+:", "").alias("label"), "module", "depth"))
     return {"start": start, "depth": depth, "nodes": all_nodes, "edges": shown, "node_count": len(all_nodes), "edge_count": len(shown), "truncated": nodes.count() > len(all_nodes) or kept.count() > len(shown)}
 
 
@@ -322,4 +338,12 @@ def trace_business_flow(t: Tables, start: str) -> dict:
     known = t["models"].groupBy(F.col("name").alias("dst")).agg(F.max(F.col("inherit_type") == "extension").alias("is_customized"), F.min("module").alias("module"))
     hops = t["fields"].where((F.col("model") == start) & F.col("field_type").isin("One2many", "Many2many") & F.col("comodel").isNotNull())
     flow = hops.select(F.col("comodel").alias("dst"), F.col("name").alias("via_field"), F.col("label").alias("field_label"), F.col("field_type").alias("relation")).join(known, "dst")
-    return {"root": {"model": start}, "flow": rows(flow.orderBy(F.desc("is_customized"), "dst", "via_field"), 25)}
+    # of several fields that lead to one model the first by name counts
+    flow = flow.groupBy("dst", "is_customized", "module").agg(F.min_by(F.struct("via_field", "field_label", "relation"), "via_field").alias("s")).select("dst", "s.*", "is_customized", "module")
+    shown = rows(flow.orderBy(F.desc("is_customized"), "dst"), 25)
+    mine = F.col("model") == start
+    root = {"model": start, "field_count": t["fields"].where(mine).select("name").distinct().count(), "method_count": t["methods"].where(mine).select("name").distinct().count()}
+    root["state_machine"] = rows(t["state_machines"].where(mine).select("field", "states").orderBy("field"))
+    root["extended_by"] = [r["module"] for r in rows(t["models"].where((F.col("name") == start) & (F.col("inherit_type") == "extension")).select("module").distinct().orderBy("module"))]
+    steps = [f"get_model_schema {r['dst']}" for r in shown[:3]] + ([f"get_state_machine {start}"] if root["state_machine"] else [])
+    return {"root": root, "flow": shown, "total": flow.count(), "next_steps": steps}

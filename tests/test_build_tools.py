@@ -82,7 +82,7 @@ def test_xml_csv_js(kg):
     q = kg["qweb_templates"].first()
     assert (q.kind, q.t_calls, q.t_fields, q.t_if_fields) == ("report", ["web.layout"], ["name"], ["state"])
     js = [(r.kind, r.line) for r in kg["js_components"].orderBy("line").collect()]
-    assert js == [("client_action", 1), ("odd_registration", 2), ("orm_call", 3), ("rpc", 4), ("legacy_rpc", 5)]
+    assert js == [("action_handler", 1), ("odd_registration", 2), ("orm_call", 3), ("rpc", 4), ("legacy_rpc", 5)]
     routes = {r.pattern: r for r in kg["routes"].collect()}
     assert routes["/order/<int:order_id>/<string:token>"].params == ["order_id", "token"] and not routes["/order/<int:order_id>/<string:token>"].csrf
     assert routes["/a"].patterns == ["/a", "/b"] and routes["/a"].methods == ["GET", "POST"]
@@ -101,7 +101,7 @@ def test_schema_and_overrides(kg):
     by = {}
     for m in s["methods"]:
         by.setdefault(m["name"], m)
-    assert by["mixin_only"]["inherited_from"] == "fx.mixin" and by["action_done"]["overrides"] == ["fx.mixin"]
+    assert by["mixin_only"]["inherited_from"] == "fx.mixin" and by["action_done"]["overrides"] == [{"model": "fx.mixin", "module": "fx_base"}]
     assert any(f.get("inherited_from") == "fx.mixin" and f["name"] == "note" for f in s["fields"])
     assert s["extensions"][0]["module"] == "fx_ext" and s["extensions"][0]["added_fields"] == ["extra", "state"]
     assert {m["name"] for m in T.get_model_schema(kg, "fx.special", include_inherited=False)["methods"]} == {"action_done"}

@@ -64,9 +64,9 @@ def test_members_through_packed_parents(spark, tmp_path):
     spark.createDataFrame(models, "name string, inherit_model string").write.parquet(f"{tmp_path}/addon_models.parquet")
     methods = [("root.a", "f"), ("root.b", "g"), ("Root.C ", "h"), ("child", "g")]
     spark.createDataFrame(methods, "model_name string, method_name string").write.parquet(f"{tmp_path}/model_methods.parquet")
-    got = {(r.model, r.member, r.inherited_from) for r in contract.q_closure_members_all(spark, str(tmp_path)).collect()}
+    got = {(r.model, r.member, r.inherited_from) for r in contract.q_closure_members(spark, str(tmp_path)).collect()}
     assert got == {("child", "f", "root.a"), ("child", "h", "root.c"), ("mid.one", "f", "root.a"), ("mid.two", "g", "root.b"), ("mid.two", "h", "root.c")}
-    assert [tuple(r) for r in contract.q_override_detect_all(spark, str(tmp_path)).select("model", "member", "overrides").collect()] == [("child", "g", 1)]
+    assert [tuple(r) for r in contract.q_override_detect(spark, str(tmp_path)).select("model", "member", "overrides").collect()] == [("child", "g", 1)]
 
 
 def test_whole_tables_take_part(spark, tmp_path):
@@ -75,13 +75,30 @@ def test_whole_tables_take_part(spark, tmp_path):
 
     write("customer", [(3, 1.0, "A"), (6, 2.0, "B")], "c_custkey long, c_acctbal double, c_mktsegment string")
     write("orders", [(3, 9.0)], "o_custkey long, o_totalprice double")
-    assert {tuple(r) for r in contract.q_merge_partial_whole(spark, str(tmp_path)).select("k", "amount", "segment", "orders").collect()} == {(3, 9.0, "A", 1), (6, 2.0, "B", None)}
+    assert {tuple(r) for r in contract.q_merge_partial(spark, str(tmp_path)).select("k", "amount", "segment", "orders").collect()} == {(3, 9.0, "A", 1), (6, 2.0, "B", None)}
     write("events", [(1, 1, "low", 5.0), (2, 1, "high", 30.0), (3, 2, "none", None)], "event_id long, user_id long, event_type string, value double")
-    assert {tuple(r) for r in contract.q_state_merge_whole(spark, str(tmp_path)).select("user_id", "states").collect()} == {(1, "high,low"), (2, "none")}
+    assert {tuple(r) for r in contract.q_state_merge(spark, str(tmp_path)).select("user_id", "states").collect()} == {(1, "high,low"), (2, "none")}
     scans = [(1, "p", "a", "/a", "x", 1), (2, "p", None, "/b", "x", 1), (3, "p", "a", "/a", "y", 5), (4, "p", "c", "/c", "z", 6), (5, "q", "a", "/a", "x", 1)]
     write("module_scans", scans, "scan_id long, project_name string, module_name string, path string, module_hash string, arrived_at long")
     write("index_results", [("p", 2, 3), ("p", 7, None), ("q", 9, None)], "project_name string, cutoff_at long, finished_at long")
-    assert {tuple(r) for r in contract.q_change_set_whole(spark, str(tmp_path)).select("module", "state").collect()} == {("p:a", "changed"), ("p:/b", "unchanged"), ("p:c", "new"), ("q:a", "new")}
+    assert {tuple(r) for r in contract.q_change_set(spark, str(tmp_path)).select("module", "state").collect()} == {("p:a", "changed"), ("p:/b", "unchanged"), ("p:c", "new"), ("q:a", "new")}
+
+
+def test_dotted_paths_of_any_length(spark):
+    fields = [("lineitem", "order", "orders", "many2one"), ("lineitem", "qty", None, "float"), ("orders", "customer", "customer", "many2one"), ("customer", "nation", "nation", "many2one"), ("nation", "name", None, "char")]
+    fields += [(f"m{i}", "next", f"m{i + 1}", "many2one") for i in range(9)] + [("m9", "end", None, "char")]
+    rows = [("order.customer.nation.name",), ("order.customer",), ("order.gone.nation",), ("qty.nation",), ("order.customer.nation",), (None,)]
+    df = spark.createDataFrame([(i, "lineitem", *r) for i, r in enumerate(rows)] + [(9, "m0", "next." * 9 + "end"), (10, "m0", "next." * 8 + "gone.x")], "path_id int, model string, path string")
+    got = {r.path_id: (r.terminal_model, r.terminal_field, r.fully_resolved, r.broken_at) for r in paths.resolve_dotted(df, spark.createDataFrame(fields, "model string, field string, comodel string, field_type string")).collect()}
+    assert got == {
+        0: ("nation", "name", True, None), 1: ("orders", "customer", True, None), 2: (None, None, False, "orders.gone"), 3: (None, None, False, "lineitem.qty (no comodel)"), 4: ("customer", "nation", True, None), 5: (None, None, False, None),
+        9: ("m9", "end", True, None), 10: (None, None, False, "m8.gone"),
+    }
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(40)], "src string, dst string")
+    assert graph.closure(edges).where("start = 'n0'").count() == 40
 
 
 def test_longest_prefix(spark):
