@@ -12,16 +12,27 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.session import spread
 
 CHILD_KEYS = ("children", "elements", "nodes")
-SCALAR, LIST, OBJECT, ELEMENT, VIEW, DUMP, ENVELOPE = range(7)
-#: variant of an element -> columns of its typed table besides the supertype's
-VARIANTS = {"field": ("name", "widget", "options", "attrs"), "button": ("name", "groups", "attrs"), "xpath": ("expr", "position"), "container": ("name", "groups", "attrs")}
+#: shape states of the automaton
+SCALAR, LIST, OBJECT, FIELD, BUTTON, XPATH, CONTAINER, VIEW, DUMP, ENVELOPE = range(10)
+#: element state -> its variant
+VARIANT_OF = {FIELD: "field", BUTTON: "button", XPATH: "xpath", CONTAINER: "container"}
+#: what an element's ``tag`` says of its shape (fixed values)
+TAG_STATES = {"field": FIELD, "button": BUTTON, "xpath": XPATH}
+#: variant of an element -> typed columns of its table besides the supertype's
+VARIANTS = {
+    "field": {"name": "string", "widget": "string", "options": "map<string,string>", "attrs": "map<string,string>"},
+    "button": {"name": "string", "groups": "string", "attrs": "map<string,string>"},
+    "xpath": {"expr": "string", "position": "string"},
+    "container": {"name": "string", "groups": "string", "attrs": "map<string,string>"},
+}
 ELEMENT_SCHEMA = "dump_id long, view_no int, elem_no int, parent_no int, depth int, variant string, tag string, view_xml_id string, view_model string, attributes map<string,string>"
+KEY_SCHEMA = "dump_id long, view_no int, elem_no int, parent_no int, depth int, variant string"
 
 
 def _constant(name: str) -> None:
@@ -105,51 +116,53 @@ def parse_json(text: str):
 class ShapeAutomaton:
     """Bottom-up deterministic tree automaton over parsed JSON; states are kept by object identity.
 
-    Transitions depend on the node's kind, the keys of the alphabet it has, and its children's
-    states only; they are computed once per distinct combination.
+    Transitions depend on the node's kind, its symbol (the keys of the alphabet it has and its
+    tag), and its children's states only; they are computed once per distinct combination.  A list
+    passes on what its items hide, so an envelope is one at any depth.
     """
 
-    alphabet = frozenset(("tag", "arch", "xml_id", "views", *CHILD_KEYS))
+    alphabet = frozenset(("tag", "arch", "xml_id", "views", "expr", *CHILD_KEYS))
 
     def __init__(self) -> None:
         self.delta: dict = {}
 
-    def _step(self, signature: tuple) -> int:
-        kind, keys, states = signature
-        if kind == "list":
-            return LIST
+    def _step(self, keys: frozenset | None, tag: object, states: frozenset) -> int:
+        if keys is None:
+            return ENVELOPE if states & {DUMP, ENVELOPE} else LIST
         if "views" in keys:
             return DUMP
         if "arch" in keys or "xml_id" in keys and "tag" not in keys:
             return VIEW
-        if DUMP in states or ENVELOPE in states:
+        if states & {DUMP, ENVELOPE}:
             return ENVELOPE
-        if "tag" in keys or keys:
-            return ELEMENT
-        return OBJECT
+        if "tag" in keys:
+            return TAG_STATES.get(tag, CONTAINER) if tag is not None or "expr" not in keys else XPATH
+        if "expr" in keys:
+            return XPATH
+        return CONTAINER if keys else OBJECT
 
     def run(self, root) -> dict[int, int]:
         states: dict[int, int] = {}
+        delta, alphabet = self.delta, self.alphabet
         stack = [(root, False)]
         while stack:
             node, ready = stack.pop()
-            if not isinstance(node, (dict, list)):
-                continue
             kids = node.values() if isinstance(node, dict) else node
-            if not ready:
+            inner = [k for k in kids if isinstance(k, (dict, list))]
+            if inner and not ready:
                 stack.append((node, True))
-                stack.extend((k, False) for k in kids if isinstance(k, (dict, list)))
+                stack.extend((k, False) for k in inner)
                 continue
-            inner: set[int] = set()
-            for k in kids:
-                state = states.get(id(k), SCALAR)
-                if state == LIST:  # a list passes on what a document may hide in it
-                    inner.update(s for s in (states.get(id(x), SCALAR) for x in k) if s in (DUMP, ENVELOPE))
-                inner.add(state)
-            signature = ("object" if isinstance(node, dict) else "list", frozenset(self.alphabet & node.keys()) if isinstance(node, dict) else None, frozenset(inner))
-            if signature not in self.delta:
-                self.delta[signature] = self._step(signature)
-            states[id(node)] = self.delta[signature]
+            below = frozenset(states[id(k)] for k in inner)
+            if isinstance(node, dict):
+                tag = node.get("tag")
+                symbol = (frozenset(alphabet & node.keys()), tag if tag in ("field", "button", "xpath", None) else "other", below) if not isinstance(tag, (dict, list)) else (frozenset(alphabet & node.keys()), "other", below)
+            else:
+                symbol = (None, None, below)
+            state = delta.get(symbol)
+            if state is None:
+                state = delta[symbol] = self._step(*symbol)
+            states[id(node)] = state
         return states
 
 
@@ -159,16 +172,15 @@ def _objects(value) -> list[dict]:
 
 
 def _views(root, states: dict[int, int]) -> Iterator[dict]:
+    """The views that the objects in state DUMP hold, in document order."""
     stack = [root]
     while stack:
         node = stack.pop()
-        if isinstance(node, list):
-            stack.extend(reversed([x for x in node if isinstance(x, (dict, list))]))
-        elif isinstance(node, dict):
-            if states.get(id(node)) == DUMP:
-                yield from _objects(node["views"])
-            elif states.get(id(node)) == ENVELOPE:
-                stack.extend(reversed([x for x in node.values() if isinstance(x, (dict, list))]))
+        state = states.get(id(node), SCALAR)
+        if state == DUMP:
+            yield from _objects(node["views"])
+        elif state == ENVELOPE:
+            stack.extend(reversed([x for x in (node.values() if isinstance(node, dict) else node) if isinstance(x, (dict, list))]))
 
 
 def _arch(view: dict) -> dict | None:
@@ -181,45 +193,79 @@ def _arch(view: dict) -> dict | None:
     return arch if isinstance(arch, dict) else None
 
 
-def _variant(element: dict) -> str:
-    tag = element.get("tag")
-    return tag if tag in ("field", "button", "xpath") else "xpath" if "expr" in element and tag is None else "container"
-
-
 def _text(value) -> str | None:
+    """A value as text, lists and objects as JSON of any depth."""
     if value is None or isinstance(value, str):
         return value
     try:
         return json.dumps(value, ensure_ascii=False)
     except RecursionError:
-        return None
+        return _dump(value)
 
 
-def flatten_payload(payload: str | None, automaton: ShapeAutomaton) -> Iterator[tuple]:
-    """Rows ``(view_no, elem_no, parent_no, depth, variant, tag, xml_id, model, attributes)`` of one payload."""
+def _dump(root) -> str:
+    """JSON text without recursion."""
+    out: list[str] = []
+    stack: list = [root]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, _Raw):
+            out.append(x)
+        elif isinstance(x, dict):
+            parts: list = [_Raw("{")]
+            for i, (k, v) in enumerate(x.items()):
+                parts += [_Raw((", " if i else "") + json.dumps(k, ensure_ascii=False) + ": "), v]
+            stack.extend(reversed([*parts, _Raw("}")]))
+        elif isinstance(x, list):
+            parts = [_Raw("[")]
+            for i, v in enumerate(x):
+                parts += [_Raw(", "), v] if i else [v]
+            stack.extend(reversed([*parts, _Raw("]")]))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
+class _Raw(str):
+    """Text that is output as it is."""
+
+
+def flatten_payload(payload: str | None, automaton: ShapeAutomaton, full: bool = True) -> Iterator[tuple]:
+    """Rows ``(view_no, elem_no, parent_no, depth, variant[, tag, xml_id, model, attributes])`` of one payload."""
     if payload is None:
         return
     try:
         root = parse_json(payload)
     except ValueError:
         return
-    for view_no, view in enumerate(_views(root, automaton.run(root)), 1):
+    if not isinstance(root, (dict, list)):
+        return
+    states = automaton.run(root)
+    for view_no, view in enumerate(_views(root, states), 1):
         arch = _arch(view)
         if arch is None:
             continue
-        xml_id, model = _text(view.get("xml_id")), _text(view.get("model"))
+        if isinstance(view.get("arch"), str):
+            states = states | automaton.run(arch)  # it was hidden in a string
+        xml_id, model = (_text(view.get("xml_id")), _text(view.get("model"))) if full else (None, None)
         count, stack = 0, [(arch, 0, 0)]
         while stack:
             element, parent, depth = stack.pop()
             count += 1
-            attributes = {k: t for k, v in element.items() if k not in CHILD_KEYS and k != "tag" and (t := _text(v)) is not None}
-            yield view_no, count, parent, depth, _variant(element), _text(element.get("tag")), xml_id, model, attributes
-            below = [x for k, v in element.items() if k in CHILD_KEYS for x in _objects(v)]
+            below = [x for k in CHILD_KEYS if k in element for x in _objects(element[k])]
+            if len(below) > 1 and sum(k in element for k in CHILD_KEYS) > 1:
+                below = [x for k, v in element.items() if k in CHILD_KEYS for x in _objects(v)]
+            variant = VARIANT_OF.get(states[id(element)], "container")
+            if full:
+                attributes = {k: t for k, v in element.items() if k not in CHILD_KEYS and k != "tag" and (t := _text(v)) is not None}
+                yield view_no, count, parent, depth, variant, _text(element.get("tag")), xml_id, model, attributes
+            else:
+                yield view_no, count, parent, depth, variant
             stack.extend((x, count, depth + 1) for x in reversed(below))
 
 
-def flatten_nested(df: DataFrame, key: str = "dump_id", payload: str = "payload") -> DataFrame:
-    """The supertype table: one row per element of every valid payload.
+def flatten_nested(df: DataFrame, key: str = "dump_id", payload: str = "payload", full: bool = True) -> DataFrame:
+    """The supertype table: one row per element of every valid payload; ``full`` adds what the typed tables take.
 
     Null, empty and invalid payloads give no row; a view without ``arch`` takes a number but gives
     none; nesting may be of any depth; repeated payloads under different keys each give their rows;
@@ -227,13 +273,15 @@ def flatten_nested(df: DataFrame, key: str = "dump_id", payload: str = "payload"
     input has as many splits as the session has cores.
     """
 
+    schema = ELEMENT_SCHEMA if full else KEY_SCHEMA
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = ShapeAutomaton()
-        names = [c.split()[0] for c in ELEMENT_SCHEMA.replace("map<string,string>", "map").split(", ")]
+        names = [c.split()[0] for c in schema.replace("map<string,string>", "map").split(", ")]
         for batch in batches:
             rows: list[tuple] = []
             for dump_id, text in zip(batch["dump_id"], batch["payload"]):
-                for row in flatten_payload(text, automaton):
+                for row in flatten_payload(text, automaton, full):
                     rows.append((dump_id, *row))
                     if len(rows) >= 20_000:
                         yield pd.DataFrame(rows, columns=names)
@@ -242,14 +290,21 @@ def flatten_nested(df: DataFrame, key: str = "dump_id", payload: str = "payload"
                 yield pd.DataFrame(rows, columns=names)
 
     rows = df.select(F.col(f"`{key}`").cast("long").alias("dump_id"), F.col(f"`{payload}`").alias("payload")).where("dump_id is not null and payload is not null")
-    return spread(rows).mapInPandas(run, ELEMENT_SCHEMA)
+    return spread(rows).mapInPandas(run, schema)
 
 
 def variant_tables(elements: DataFrame) -> dict[str, DataFrame]:
-    """The typed subtype tables, each with the supertype's keys and parent link."""
+    """The typed subtype tables, each with the supertype's keys and parent link, and the views.
+
+    Columns have the types of ``VARIANTS``: scalars are text, option and attribute objects are maps
+    (null where the value is no object).  A view's row is keyed as its root element is.
+    """
     keys = ["dump_id", "view_no", "elem_no", "parent_no", "depth", "view_xml_id"]
-    out = {
-        variant: elements.where(F.col("variant") == variant).select(*keys, "tag", *(F.col("attributes")[c].alias(c) for c in columns))
-        for variant, columns in VARIANTS.items()
-    }
-    return out | {"views": elements.where("elem_no = 1").select("dump_id", "view_no", "view_xml_id", "view_model")}
+
+    def typed(name: str, kind: str) -> Column:
+        value = F.col("attributes")[name]
+        return (F.from_json(value, kind) if kind != "string" else value).alias(name)
+
+    out = {variant: elements.where(F.col("variant") == variant).select(*keys, "tag", *(typed(c, k) for c, k in columns.items())) for variant, columns in VARIANTS.items()}
+    views = elements.where("elem_no = 1").select("dump_id", "view_no", "view_xml_id", "view_model", F.col("variant").alias("root_variant"), F.col("tag").alias("root_tag"))
+    return out | {"views": views}

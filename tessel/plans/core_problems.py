@@ -14,16 +14,23 @@ from tessel.session import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return flatten_nested(table(spark, d, "view_dumps")).select("dump_id", "view_no", "elem_no", "parent_no", "depth")
+    return flatten_nested(table(spark, d, "view_dumps"), full=False).select("dump_id", "view_no", "elem_no", "parent_no", "depth")
 
 
-def p2_fields(spark: SparkSession, d: str) -> DataFrame:
-    return variant_tables(flatten_nested(table(spark, d, "view_dumps")))["field"]
+def _variant_query(variant: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return variant_tables(flatten_nested(table(spark, d, "view_dumps")))[variant]
+
+    query.__name__ = f"p2_{variant}s" if variant != "views" else "p2_views"
+    return query
+
+
+VARIANT_QUERIES = [_variant_query(v) for v in ("field", "button", "xpath", "container", "views")]
 
 
 def p2_variants(spark: SparkSession, d: str) -> DataFrame:
     """Elements and deepest level per variant and dump."""
-    rows = flatten_nested(table(spark, d, "view_dumps"))
+    rows = flatten_nested(table(spark, d, "view_dumps"), full=False)
     return rows.groupBy("dump_id", "variant").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 
@@ -35,10 +42,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Packed fields by the number of values they hold."""
-    rows = explode_packed(table(spark, d, "view_element_refs"), "ref_id", ["button_groups", "groups_attr"], "view_element_refs", least=1)
-    sizes = rows.groupBy("row_id", "column_name").agg(F.count("*").alias("n_values"))
-    return sizes.groupBy("column_name", "n_values").agg(F.count("*").alias("n"))
+    """Packed fields of all tables by the number of values they hold."""
+    models = explode_packed(table(spark, d, "addon_models"), "model_id", ["inherit_model"], "addon_models", least=1)
+    menus = explode_packed(table(spark, d, "menu_records"), "menu_id", ["groups"], "menu_records", least=1)
+    refs = explode_packed(table(spark, d, "view_element_refs"), "ref_id", ["button_groups", "groups_attr"], "view_element_refs", least=1)
+    sizes = models.unionByName(menus).unionByName(refs).groupBy("table_name", "column_name", "row_id").agg(F.count("*").alias("n_values"))
+    return sizes.groupBy("table_name", "column_name", "n_values").agg(F.count("*").alias("n"))
 
 
 SEP = "\x01"
@@ -90,7 +99,7 @@ def p7_pending(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("project_name").agg(F.count("*").alias("n_paths"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_fields, p2_variants, p4_found, p4_sizes, p6_found, p6_paths, p6_descendants, p7_found, p7_pending)}
+QUERIES = {f.__name__: f for f in (p2_found, *VARIANT_QUERIES, p2_variants, p4_found, p4_sizes, p6_found, p6_paths, p6_descendants, p7_found, p7_pending)}
 UP = "regexp_replace({}, '/[^/]+/[.][.]/', '/')"
 NORMAL = "'/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.'), '/') || '/'"
 for _ in range(4):
@@ -142,6 +151,10 @@ v AS (SELECT table_name, row_id, column_name, {VALUES_SQL} AS vals FROM i)
 )
 ORACLES = {
     "p4_found": PACKED_SQL + "SELECT table_name, row_id, column_name, unnest(range(1, len(vals) + 1))::INT AS pos, unnest(vals) AS val FROM v WHERE len(vals) > 1",
+    "p4_sizes": PACKED_SQL + "SELECT table_name, column_name, len(vals)::BIGINT AS n_values, count(*) AS n FROM v WHERE len(vals) > 0 GROUP BY 1, 2, 3",
+    "p2_variants": NESTED_SQL.replace("SELECT n.dump_id, n.view_no::INT", """, e AS (SELECT n.dump_id, len(n.path) AS depth, CASE WHEN json_extract_string(t.node, '$.tag') IN ('field', 'button', 'xpath') THEN json_extract_string(t.node, '$.tag')
+WHEN json_extract_string(t.node, '$.tag') IS NULL AND json_exists(t.node, '$.expr') THEN 'xpath' ELSE 'container' END AS variant FROM n JOIN t USING (dump_id, view_no, path))
+SELECT dump_id, variant, count(*) AS n, max(depth)::INT AS deepest FROM e GROUP BY 1, 2 --""").split("--")[0],
     "p6_found": HIERARCHY_SQL,
     "p6_paths": HIERARCHY_SQL.rsplit("SELECT h AS hierarchy", 1)[0] + """, ways(h, node, root, depth, path) AS (SELECT h, node, node, 0, [node] FROM nodes WHERE NOT EXISTS (SELECT 1 FROM links WHERE links.h = nodes.h AND links.child = nodes.node)
 UNION SELECT w.h, l.child, w.root, w.depth + 1, list_append(w.path, l.child) FROM ways w JOIN links l ON l.h = w.h AND l.parent = w.node WHERE NOT list_contains(w.path, l.child))
