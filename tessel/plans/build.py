@@ -73,18 +73,17 @@ class Index:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.facts = HashState(spark, f"{self.folder}/facts")
-        self.hashes = HashState(spark, f"{self.folder}/hashes")
+        self.state = HashState(spark, self.folder)
 
     def build(self, files: DataFrame, force: bool = False) -> dict:
         """Full where nothing is published or ``force``, else only new and changed modules; deleted ones go.
 
-        The facts are in force before the hashes, so a run that fails in between repeats its
-        modules' work and never loses or doubles it: a module's facts are replaced as a whole.
+        Facts and hashes are put in force together, so a run that fails leaves no trace, and a
+        module's facts are replaced as a whole.
         """
         began = time.time()
         now = group_hash(files, "module", F.col("path"), F.coalesce("content", F.lit("")))
-        old_facts, old_hashes = (None, None) if force else (self.facts.read(), self.hashes.read())
+        old_facts, old_hashes = (None, None) if force else (self.state.read("facts"), self.state.read())
         total = now.count()
         if old_facts is None or old_hashes is None:
             fresh, mode, done = facts(files), "force" if force else "full", total
@@ -95,26 +94,25 @@ class Index:
                 return {"success": True, "mode": mode, "modules_total": total, "modules_indexed": 0, "modules_skipped": total, "duration_seconds": round(time.time() - began, 2)}
             todo = states.where("state <> 'deleted'").select("module")
             fresh = old_facts.join(states.select("module"), "module", "left_anti").select("tbl", "module", "data").unionAll(facts(files.join(todo, "module", "left_semi")))
-        self.facts.commit(fresh)
-        self.hashes.commit(now)
+        self.state.commit(now, facts=fresh)
         return {"success": True, "mode": mode, "modules_total": total, "modules_indexed": done, "modules_skipped": total - done, "duration_seconds": round(time.time() - began, 2)}
 
     def tables(self) -> dict[str, DataFrame]:
-        rows = self.facts.read()
+        rows = self.state.read("facts")
         if rows is None:
             raise FileNotFoundError("no index is published yet")
         return derive(rows)
 
     def status(self, files: DataFrame | None = None) -> dict:
         """Counts, and how many modules are stale or new against the given files."""
-        if self.facts.version() is None:
+        if self.state.version() is None:
             return {"has_index": False, "message": "no index"}
-        rows = self.facts.read()
+        rows = self.state.read("facts")
         counts = {r["tbl"]: r["count"] for r in rows.groupBy("tbl").count().collect()}
-        out = {"has_index": True, "schema_version": SCHEMA_VERSION, "counts": counts, "version": self.facts.version()}
+        out = {"has_index": True, "schema_version": SCHEMA_VERSION, "counts": counts, "version": self.state.version()}
         if files is not None:
             now = group_hash(files, "module", F.col("path"), F.coalesce("content", F.lit("")))
-            states = change_set(self.hashes.read(), now, "module")
+            states = change_set(self.state.read(), now, "module")
             found = {r["state"]: (r["n"], r["names"]) for r in states.groupBy("state").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("module")), 1, 10).alias("names")).where("state <> 'unchanged'").collect()}
             out |= {"stale_modules": sum(found.get(s, (0, []))[0] for s in ("new", "changed")), "stale_module_names": found.get("changed", (0, []))[1], "new_module_names": found.get("new", (0, []))[1]}
         return out

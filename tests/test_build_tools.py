@@ -164,7 +164,7 @@ def test_incremental_equals_full(spark, tmp_path):
             os.remove(os.path.join(root, n))
     assert index.status(files())["stale_module_names"] == ["fx_ext"]
     assert index.build(files())["modules_indexed"] == 1
-    left = sorted((r.tbl, r.module, r.data) for r in index.facts.read().collect())
+    left = sorted((r.tbl, r.module, r.data) for r in index.state.read("facts").collect())
     assert left == sorted((r.tbl, r.module, r.data) for r in facts(files()).collect())
     assert "fx.new" in {r.name for r in index.tables()["models"].collect()}
 

@@ -10,7 +10,7 @@ import pytest
 
 from tessel.functions.packed import packed_values
 from tessel.operators.hierarchy import contract_hierarchy, descendants
-from tessel.operators.incremental import HashState, changed, deleted, normal_path, scan_changes
+from tessel.operators.incremental import HashState, changed, deleted, normal_path, process_changed, scan_changes
 from tessel.operators.nesting import ShapeAutomaton, flatten_nested, flatten_payload, parse_json, variant_tables
 from tessel.operators.packed import explode_packed
 from tessel.plans import core_problems as q
@@ -331,6 +331,49 @@ def test_state_survives_failure_and_swaps(spark, tmp_path):
     assert [r.k for r in deleted(one.where("k = 'a'"), state.read(), ["k"]).orderBy("k").collect()] == [None, "b", "c"]
 
 
+def test_runs_neither_skip_nor_repeat(spark, tmp_path):
+    """Three runs, the second of which fails in its work and then again while it writes: every change is handled once."""
+    state = HashState(spark, f"file://{tmp_path}/state")
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, content_hash string")
+    handled = lambda df: {(r.k, r.content_hash) for r in df.collect()}
+    assert handled(process_changed(rows(("a", "1"), ("b", "2")), state, ["k"], lambda x: x)) == {("a", "1"), ("b", "2")}
+    two, version = rows(("a", "1"), ("b", "3"), ("c", "4")), state.version()
+
+    def fails(_):
+        raise RuntimeError("lost")
+
+    for work in (fails, lambda x: x.selectExpr("k", "assert_true(k = 'none') as content_hash")):
+        with pytest.raises(Exception):
+            process_changed(two, state, ["k"], work)
+        assert state.version() == version and handled(state.read("result")) == {("a", "1"), ("b", "2")}
+    assert handled(process_changed(two, state, ["k"], lambda x: x)) == {("b", "3"), ("c", "4")}
+    assert handled(process_changed(rows(("a", "5"), ("b", "3"), ("c", "4")), state, ["k"], lambda x: x)) == {("a", "5")}
+    assert sum(p.name.startswith("v-") for p in (tmp_path / "state").iterdir()) == 2
+
+
+def test_scan_changes_from_run_to_run(spark, tmp_path):
+    scans = [(1, "p", "/a", "x", 1, 1), (2, "p", "/b", "x", 1, 1), (3, "q", "/a", "x", 1, 1)]
+    more = [(4, "p", "/a", "y", 5, 5), (5, "q", "/c", "z", 6, 6)]
+    schema = "scan_id long, project_name string, path string, module_hash string, scanned_at long, arrived_at long"
+    projects = spark.createDataFrame([("p", "h"), ("q", "h")], "name string, addons_hash string")
+    run = lambda *x: spark.createDataFrame([(p, "h", s, c, f) for p, s, c, f in x], "project_name string, addons_hash string, status string, cutoff_at long, finished_at long")
+    folder = f"file://{tmp_path}/state"
+
+    def pending(rows, runs):
+        args = (spark.createDataFrame(rows, schema), run(*runs), projects)
+        got = {r.scan_id for r in scan_changes(*args, folder=folder).collect()}
+        assert got == {r.scan_id for r in scan_changes(*args).collect()}
+        return got
+
+    none = [("p", "failed", 0, 1)]
+    assert pending(scans, none) == {1, 2, 3}
+    assert pending(scans, [("p", " OK", 2, 3), ("q", "done", 2, None)]) == {3}
+    first = HashState(spark, folder).version()
+    assert pending(scans + more, [("p", " OK", 2, 3), ("q", "failed", 9, 9)]) == {3, 4, 5} and HashState(spark, folder).version() == first
+    assert pending(scans + more, [("p", " OK", 2, 3), ("q", "done", 7, 9)]) == {4}
+    assert pending(scans + more, [("p", "ok", 8, 9), ("q", "done", 7, 9)]) == set()
+
+
 def test_scan_changes_empty(spark, small):
     t = [table(spark, small, n) for n in ("module_scans", "index_results", "index_projects")]
     assert scan_changes(t[0].limit(0), t[1], t[2]).count() == 0
