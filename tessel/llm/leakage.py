@@ -178,7 +178,7 @@ def edit_distance(a: list, b: list, most: int) -> int | None:
     return row[-1] if row[-1] <= most else None
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, width: int = 13, max_edits: int = 0, walks: int = 1, samples: int = 16, block_items: int = 20_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, width: int = 13, max_edits: int = 0, walks: int = 1, samples: int = 16, block_items: int = 20_000, block_chars: int = 20_000_000) -> DataFrame:
     """Rows ``(doc_id, item_id, edits)``: documents with ``width`` consecutive words of an item, up to ``max_edits`` edits.
 
     Recall is 1: with no edits allowed, equal windows always collide; with edits, words changed, left
@@ -192,6 +192,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, width: int = 13, max_edit
     spark = documents.sparkSession
     out = None
     block: list[tuple[int, str]] = []
+    chars = 0
 
     def match(block: list[tuple[int, str]]) -> DataFrame:
         index = spark.sparkContext.broadcast(WindowIndex(block, width, max_edits, walks, samples))
@@ -209,8 +210,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, width: int = 13, max_edit
 
     for row in items.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").toLocalIterator():
         block.append((row.i, row.t))
-        if len(block) == block_items:
-            out, block = add(match(block)), []
+        chars += len(row.t)
+        if len(block) == block_items or chars >= block_chars:
+            out, block, chars = add(match(block)), [], 0
     if block or out is None:
         out = add(match(block))
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))

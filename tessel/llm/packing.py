@@ -2,7 +2,8 @@
 
 Items are spread over partitions of bounded size; each partition is packed by best-fit decreasing
 and its bin count compared with a lower bound from dual-feasible functions.  Partitions with a gap
-give up their open bins; those documents are exchanged under another hash and packed again.
+exchange their documents under another hash and are packed again, with more of them together, until
+every partition, or the packing as a whole, is certified, or exchanging no longer saves a bin.
 """
 
 from __future__ import annotations
@@ -44,6 +45,11 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     counts = [0] * (capacity + 1)
     for s in sizes:
         counts[s] += 1
+    return lower_bound_of_counts(counts, capacity)
+
+
+def lower_bound_of_counts(counts: list[int], capacity: int) -> int:
+    """The same from the number of items of each size."""
     total = sum(s * n for s, n in enumerate(counts))
     best, small, large, large_sum = -(-total // capacity), 0, 0, 0
     for e in range(1, capacity // 2 + 1):
@@ -78,7 +84,10 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-SCHEMA = "doc_id long, piece int, n_pieces int, size int, home string, bin long, fill int, gap int"
+SCHEMA = "doc_id long, piece int, n_pieces int, size int, home string, bin long, fill int, bound int, gap int"
+#: Exchanges put at most so many partitions' items together.
+TOGETHER = 8
+ITEM = ["doc_id", "piece", "n_pieces", "size"]
 
 
 def _pack(items: DataFrame, n_items: int, capacity: int, per_partition: int, round_no: int) -> DataFrame:
@@ -89,33 +98,59 @@ def _pack(items: DataFrame, n_items: int, capacity: int, per_partition: int, rou
         bins = best_fit_decreasing(sizes, capacity)
         pdf["bin"] = bins
         pdf["fill"] = pdf.groupby("bin")["size"].transform("sum").astype("int32")
-        pdf["gap"] = len(set(bins)) - lower_bound(sizes, capacity)
-        return pdf[["doc_id", "piece", "n_pieces", "size", "home", "bin", "fill", "gap"]]
+        pdf["bound"] = lower_bound(sizes, capacity)
+        pdf["gap"] = len(set(bins)) - pdf["bound"]
+        return pdf[[c.split()[0] for c in SCHEMA.split(", ")]]
 
     home = F.concat(F.lit(f"{round_no}-"), F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_no)), F.lit(parts)).cast("string"))
-    return items.select("doc_id", "piece", "n_pieces", "size", home.alias("home")).groupBy("home").applyInPandas(run, SCHEMA)
+    return items.select(*ITEM, home.alias("home")).groupBy("home").applyInPandas(run, SCHEMA)
+
 
+def _bins(packed: DataFrame) -> int:
+    return packed.select("home", "bin").distinct().count()
 
-def pack(sizes: DataFrame, capacity: int = 1024, per_partition: int = 50_000, rounds: int = 2) -> DataFrame:
-    """Rows ``(doc_id, piece, n_pieces, size, container_id, fill)`` from ``(doc_id, n_tokens)``.
+
+def pack(sizes: DataFrame, capacity: int = 1024, per_partition: int = 50_000, patience: int = 3) -> DataFrame:
+    """Rows ``(doc_id, piece, n_pieces, size, container_id, fill, home, bound, gap)`` from ``(doc_id, n_tokens)``.
 
     An item larger than the capacity is split into full pieces and a rest; no other is split.  Null
     sizes count as 0, items of size 0 go anywhere; repeated ids are items of their own.  A task
     holds ``per_partition`` items on average, spread by hash, so equal sizes and hot sources do
-    not matter; an exchange stands only if it needs no more bins than before.
+    not matter.  ``home`` is the partition an item was packed in, ``bound`` how many containers its
+    items need at least and ``gap`` how many more it has.  Exchanges go on until no partition has a
+    gap, or the number of containers meets the bound of all items together, or ``patience``
+    exchanges in a row have saved nothing; an exchange that needs more containers is dropped.
     """
     n = F.coalesce(F.col("n_tokens"), F.lit(0))
     pieces = F.greatest(F.ceil(n / capacity), F.lit(1)).cast("int")
     items = sizes.select(F.col("doc_id"), n.alias("n"), pieces.alias("n_pieces")).select("doc_id", "n", "n_pieces", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))).alias("piece"))
     items = cut(items.select("doc_id", "piece", "n_pieces", F.least(F.lit(capacity), F.col("n") - (F.col("piece") - 1) * capacity).cast("int").alias("size")))
     packed = cut(_pack(items, items.count(), capacity, per_partition, 0))
-    for round_no in range(1, rounds + 1):
-        loose = packed.where((F.col("gap") > 0) & (F.col("fill") < capacity))
-        before = loose.select("home", "bin").distinct().count()
+    least, total = overall_bound(items, capacity), _bins(packed)
+    round_no = idle = 0
+    while total > least and idle < patience:
+        round_no += 1
+        loose = packed.where("gap > 0")
+        before = _bins(loose)
         if not before:
             break
-        again = cut(_pack(loose, loose.count(), capacity, per_partition, round_no))
-        if again.select("home", "bin").distinct().count() > before:
-            break
-        packed = packed.where(~((F.col("gap") > 0) & (F.col("fill") < capacity))).unionByName(again)
-    return packed.select("doc_id", "piece", "n_pieces", "size", F.concat("home", F.lit("-"), F.col("bin").cast("string")).alias("container_id"), "fill")
+        again = cut(_pack(loose, loose.count(), capacity, per_partition * min(2**round_no, TOGETHER), round_no))
+        saved = before - _bins(again)
+        if saved >= 0:
+            packed = packed.where("gap = 0").unionByName(again)
+        total -= max(saved, 0)
+        idle = 0 if saved > 0 else idle + 1
+    return packed.select(*ITEM, F.concat("home", F.lit("-"), F.col("bin").cast("string")).alias("container_id"), "fill", "home", "bound", "gap")
+
+
+def overall_bound(items: DataFrame, capacity: int) -> int:
+    """The lower bound of all items together; their sizes are counted, at most ``capacity + 1`` numbers."""
+    counts = {r["size"]: r["count"] for r in items.groupBy("size").count().collect()}
+    return lower_bound_of_counts([counts.get(s, 0) for s in range(capacity + 1)], capacity)
+
+
+def certificates(packed: DataFrame) -> DataFrame:
+    """``(home, n_items, n_bins, bound, gap, filled)`` of each partition: the certificate of its packing."""
+    bins = packed.groupBy("home", "container_id").agg(F.count("*").alias("n"), F.max("fill").alias("fill"), F.max("bound").alias("bound"))
+    homes = bins.groupBy("home").agg(F.sum("n").alias("n_items"), F.count("*").alias("n_bins"), F.max("bound").cast("long").alias("bound"), F.sum("fill").alias("filled"))
+    return homes.select("home", "n_items", "n_bins", "bound", (F.col("n_bins") - F.col("bound")).alias("gap"), "filled")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.labels import label_files
 from tessel.llm.leakage import find_leaks
-from tessel.llm.packing import pack, token_count
+from tessel.llm.packing import certificates, pack, token_count
 from tessel.llm.spans import classes, document_shares, document_spans, find_pairs, shared_spans
 from tessel.llm.survivors import model_key, module_key, name_key, survivors
 from tessel.llm.wellformed import check_files, failure_rates
@@ -97,6 +97,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed(spark, d).groupBy("container_id").agg(F.count("*").alias("n_items"), F.sum("size").alias("used"))
 
 
+def p8_certificates(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, their lower bound and the gap between, for each partition of the packing."""
+    return certificates(packed(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -124,7 +129,7 @@ def p10_spans(spark: SparkSession, d: str) -> DataFrame:
     return document_spans(members, shared_spans(documents, members))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_labels, p5_found, p5_records, p5_untimed, p8_found, p8_containers, p9_found, p9_near, p10_found, p10_shares, p10_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_labels, p5_found, p5_records, p5_untimed, p8_found, p8_containers, p8_certificates, p9_found, p9_near, p10_found, p10_shares, p10_spans)}
 
 KEYS = """
   replace(lower(trim(model_name)), '_', '.') AS k1, lower(trim({member})) AS k2,
