@@ -19,17 +19,21 @@ SCHEMA_VERSION = "1"
 KEYS = {"modules": ["name"], "models": ["name", "module", "inherit_type"], "fields": ["model", "name", "module"], "methods": ["model", "name", "module"]}
 
 
+#: of rows of one key the last in the order of paths, and of places within a file, is the last writer
+ORDER = ["file", "seq"]
+
+
 def derive(rows: DataFrame) -> dict[str, DataFrame]:
     """All tables from the facts: keyed upserts, then the tables that are joins of others."""
     t = {name: table_of(rows, name) for name in TABLES}
     for name, keys in KEYS.items():
-        t[name] = (ignore_by_key if name == "methods" else replace_by_key)(t[name], keys, ["seq"])
+        t[name] = (ignore_by_key if name == "methods" else replace_by_key)(t[name], keys, ["path", "seq"] if name == "modules" else ORDER)
     t["module_deps"] = t["modules"].select(F.col("name").alias("src"), F.explode("depends").alias("dst")).distinct()
     t["inherits"] = t["models"].select(F.col("name").alias("src"), F.explode("inherits").alias("dst")).where("src <> dst").distinct()
     t["state_machines"] = (
-        t["methods"].select("model", "name", "seq", F.explode("transitions").alias("x"))
+        t["methods"].select("model", "name", "file", "seq", F.explode("transitions").alias("x"))
         .groupBy("model", F.col("x.field").alias("field"))
-        .agg(F.array_sort(F.collect_set("x.to_state")).alias("states"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x.from_state", "x.to_state", "name"))), lambda s: F.struct(s["from_state"].alias("from_state"), s["to_state"].alias("to_state"), s["name"].alias("method")))).alias("transitions"))
+        .agg(F.array_sort(F.collect_set("x.to_state")).alias("states"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("file", "seq", "x.from_state", "x.to_state", "name"))), lambda s: F.struct(s["from_state"].alias("from_state"), s["to_state"].alias("to_state"), s["name"].alias("method")))).alias("transitions"))
     )
     split = F.filter(F.transform(F.split("groups", ","), lambda g: F.trim(g)), lambda g: g != "")
     python = t["fields"].where("groups is not null").select("model", F.col("name").alias("field"), F.explode(split).alias("group_id"), F.lit("python").alias("source"), "module")
@@ -38,13 +42,13 @@ def derive(rows: DataFrame) -> dict[str, DataFrame]:
     t["field_groups"] = python.unionAll(view).dropDuplicates(["model", "field", "group_id", "source"])
     t["selection_extensions"] = t["fields"].where("size(selection_add) > 0").select("model", F.col("name").alias("field"), "selection_add", "module", "file")
     t["context_dependencies"] = t["methods"].select("model", F.col("name").alias("method"), F.explode("depends_context").alias("context_key"), "module").where("context_key <> ''")
-    lookup = t["fields"].groupBy("model", F.col("name").alias("field")).agg(F.max_by("comodel", "seq").alias("comodel"), F.max_by("field_type", "seq").alias("field_type"))
+    lookup = t["fields"].groupBy("model", F.col("name").alias("field")).agg(F.max_by("comodel", F.struct(*ORDER)).alias("comodel"), F.max_by("field_type", F.struct(*ORDER)).alias("field_type"))
     related = t["fields"].where("related like '%.%'").select(F.concat_ws("|", "model", "name", "module").alias("path_id"), "model", F.col("related").alias("path"))
     t["related_paths"] = resolve_dotted(related, lookup)
     cron = t["crons"].select("model", F.regexp_extract("method", r"(\w+)\s*(?:\(|$)", 1).alias("name")).distinct().withColumn("is_cron_target", F.lit(True))
     t["methods"] = t["methods"].join(cron, ["model", "name"], "left").withColumn("is_cron_target", F.coalesce("is_cron_target", F.lit(False)))
-    action = ignore_by_key(t["actions"].where("xml_id is not null"), ["xml_id"], ["seq"]).select(F.col("xml_id").alias("action"), F.col("res_model").alias("action_model"))
-    parent = ignore_by_key(t["menus"].where("xml_id is not null"), ["xml_id"], ["seq"]).select(F.col("xml_id").alias("parent"), F.col("name").alias("parent_name"))
+    action = ignore_by_key(t["actions"].where("xml_id is not null"), ["xml_id"], ORDER).select(F.col("xml_id").alias("action"), F.col("res_model").alias("action_model"))
+    parent = ignore_by_key(t["menus"].where("xml_id is not null"), ["xml_id"], ORDER).select(F.col("xml_id").alias("parent"), F.col("name").alias("parent_name"))
     t["menus"] = t["menus"].join(action, "action", "left").join(parent, "parent", "left")
     t["documents"] = search_documents(t)
     return t

@@ -228,7 +228,37 @@ class XmlFile:
     actions = {"ir.actions.act_window": "window", "ir.actions.server": "server", "ir.actions.client": "client", "ir.actions.report": "report", "ir.actions.report.xml": "report"}
 
     def __init__(self, text: str, module: str):
-        self.root, self.module = ET.fromstring(text.encode()), module
+        self.module, self.broken = module, None
+        try:
+            self.root = ET.fromstring(text.encode())
+        except ET.ParseError as e:
+            self.root, self.broken = self.complete(text), e
+
+    @staticmethod
+    def complete(text: str) -> ET.Element:
+        """What of a broken text is whole: the root, or its ``data``, with the children that end before the error."""
+        parser = ET.XMLPullParser(events=("start", "end"))
+        opened: list[ET.Element] = []
+        try:
+            parser.feed(text.encode())
+            parser.close()
+        except ET.ParseError:
+            pass
+        root = None
+        try:
+            for event, x in parser.read_events():
+                if event == "start":
+                    root = x if root is None else root
+                    opened.append(x)
+                else:
+                    opened.pop()
+        except ET.ParseError:
+            pass
+        for above, x in zip(opened, opened[1:]):
+            if x.tag != "data":
+                above.remove(x)
+                break
+        return ET.Element("data") if root is None else root
 
     def rows(self) -> Iterator[Row]:
         for group in [self.root, *self.root.findall("data")]:
@@ -449,7 +479,10 @@ def file_rows(kind: str, module: str, path: str, text: str) -> Iterator[Row]:
         elif kind == "python":
             yield from PythonFile(text).rows()
         elif kind == "xml":
-            yield from XmlFile(text, module).rows()
+            found = XmlFile(text, module)
+            yield from found.rows()
+            if found.broken:
+                raise found.broken
         elif kind == "csv":
             yield from csv_rows(text)
         else:
@@ -459,17 +492,17 @@ def file_rows(kind: str, module: str, path: str, text: str) -> Iterator[Row]:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """``(tbl, module, data)``: all rows of all tables, from one parse per file."""
+    """``(tbl, module, data)``: all rows of all tables, from one parse per file; ``seq`` counts a file's rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for kind, module, path, text, seq in zip(b["kind"], b["module"], b["path"], b["content"], b["seq"]):
+            for kind, module, path, text in zip(b["kind"], b["module"], b["path"], b["content"]):
                 for i, (name, row) in enumerate(file_rows(kind, module, path, text or "")):
-                    out.append((name, module, json.dumps({"module": module, "file": path, "seq": int(seq) * 100_000 + i if abs(int(seq)) < 2**45 else int(seq)} | row)))
+                    out.append((name, module, json.dumps({"module": module, "file": path, "seq": i} | row)))
             yield pd.DataFrame(out, columns=["tbl", "module", "data"])
 
-    return files.select("kind", "module", "path", "content", "seq").mapInPandas(run, "tbl string, module string, data string")
+    return files.select("kind", "module", "path", "content").mapInPandas(run, "tbl string, module string, data string")
 
 
 def table_of(rows: DataFrame, name: str) -> DataFrame:

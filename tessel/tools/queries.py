@@ -49,7 +49,7 @@ def get_model_schema(t: Tables, model: str, compact_fields: bool = False, fields
     if (e := _unknown(t, model)) is not None:
         return e
     mine = t["models"].where(F.col("name") == model)
-    head = mine.orderBy(F.col("inherit_type") != "primary", "module", "seq").first().asDict(recursive=True)
+    head = mine.orderBy(F.col("inherit_type") != "primary", "module", "file", "seq").first().asDict(recursive=True)
     own = t["fields"].where(F.col("model") == model)
     methods = t["methods"].where(F.col("model") == model)
     total = own.select("name").distinct().count()

@@ -68,6 +68,29 @@ def test_extraction(kg):
     assert {(r.language) for r in kg["parse_errors"].collect()} == {"python", "xml"}
 
 
+def test_broken_xml_keeps_whole_records():
+    from tessel.sources.extract import file_rows
+
+    text = '<odoo><data><menuitem id="a" name="A"/><record id="r" model="ir.rule"><field name="name">R</field></record><menuitem id="b" name="B"/><record id="s" model="ir.rule"><field name="na</data></odoo>'
+    got = [(name, row.get("xml_id")) for name, row in file_rows("xml", "m", "m/x.xml", text)]
+    assert got == [("menus", "m.a"), ("record_rules", "m.r"), ("menus", "m.b"), ("parse_errors", None)]
+    assert [name for name, _ in file_rows("xml", "m", "m/x.xml", "")] == ["parse_errors"]
+
+
+def test_calls_of_scripts():
+    from tessel.sources.extract import js_rows
+
+    text = """
+    // orm.call("never.in", "comment")
+    registry . category('systray').add("Clock", Clock, { sequence: 1 });
+    const rows = await orm.searchRead('fx.order', [["a", "=", 1]]); orm.call("fx.order", "go"); orm.other("fx.order");
+    fetch("https://no.route"); fetch('/web/image'); this._rpc({ params: { route: "/no" }, route: "/yes" });
+    const s = "orm.call('in.string', 'x')";
+    """
+    got = [(r["kind"], r.get("widget") or r.get("model") or r.get("route"), r.get("method"), r["line"]) for _, r in js_rows(text)]
+    assert got == [("systray_widget", "Clock", None, 3), ("orm_call", "fx.order", None, 4), ("orm_call", "fx.order", "go", 4), ("rpc", "/web/image", None, 5), ("legacy_rpc", "/yes", None, 5)]
+
+
 def test_xml_csv_js(kg):
     views = {r.xml_id: r for r in kg["views"].collect()}
     assert views["fx_base.view_order_form"].view_type == "form" and views["fx_base.view_order_form"].field_names == ["name", "total"]
