@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.session import cut
+from tessel.session import cut, one_task
 
 CYCLE_ROOT, CYCLE_DEPTH = "", -1
 #: Links a task takes; what is left of the graph is put into so many tasks, and one task needs no shuffle.
@@ -133,6 +133,7 @@ def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = Fa
     branching in several parents; lineage is cut every round.  Nodes go by the hashes of their
     names, and names only ride along.
     """
+    spark = nodes.sparkSession
     ids, seed = _numbered(nodes)
 
     def number(c: str) -> Column:
@@ -148,21 +149,26 @@ def contract_hierarchy(nodes: DataFrame, links: DataFrame, with_paths: bool = Fa
     records: list[tuple[DataFrame, int]] = []
     left, more, round_no = edges.count(), True, 0
     while left and more:
-        step = cut(_contract(_fit(edges, left), round_no))
-        left, done, raked, unary = step.agg(F.count_if(F.col("kind") == "kept"), F.count_if(F.col("kind") != "kept"), F.count_if(F.col("kind") == "raked"), F.count_if((F.col("kind") == "kept") & F.col("unary"))).first()
+        with one_task(spark, left <= TASK_LINKS):
+            step = cut(_contract(_fit(edges, left), round_no))
+            left, done, raked, unary = _fit(step, left).agg(F.count_if(F.col("kind") == "kept"), F.count_if(F.col("kind") != "kept"), F.count_if(F.col("kind") == "raked"), F.count_if((F.col("kind") == "kept") & F.col("unary"))).first()
         if done:
             records.append((step.where("kind <> 'kept'").drop("kind", "unary"), done))
         edges = step.where("kind = 'kept'").drop("kind", "unary")
         more = raked or unary > left // 4
         round_no += 1
-    known = _core(edges, left, with_paths, closure) if left else None
+    known = None
+    if left:
+        with one_task(spark, left <= TASK_LINKS):
+            known = _core(edges, left, with_paths, closure)
     settled = left
     for step, done in reversed(records):
         settled += done
-        step, known = _fit(step, settled), known if known is None else _fit(known, settled)
-        got = _below(step, known)
-        got = got if with_paths else got.drop("path")
-        got = cut(_least(got.unionByName(_own(step))) if closure else got)
+        with one_task(spark, settled <= TASK_LINKS):
+            step, known = _fit(step, settled), known if known is None else _fit(known, settled)
+            got = _below(step, known)
+            got = got if with_paths else got.drop("path")
+            got = cut(_least(got.unionByName(_own(step))) if closure else got)
         known = got if known is None else known.unionByName(got)
     path = [F.array("name").alias("path")] if with_paths else []
     top = ids.join(first.select(F.col("c").alias("node")), "node", "left_anti").select("node", "name", F.col("name").alias("root"), F.lit(0).alias("depth"), *path)

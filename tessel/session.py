@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +61,20 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+@contextmanager
+def one_task(spark: SparkSession, wanted: bool) -> Iterator[None]:
+    """Where wanted, plans that are run inside take one task a step, without exchanges and without re-planning between them."""
+    few = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"} if wanted else {}
+    before = {k: spark.conf.get(k) for k in few}
+    for k, v in few.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over at least as many tasks as the session has cores, for work in Python on few input splits.
 
