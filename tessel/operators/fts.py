@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,14 +16,24 @@ TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 
 
-def tokens(text: Column) -> Column:
-    """Case-folded runs of letters and digits; ``.`` and ``_`` split."""
+#: Latin letters with marks and their bases
+MARKED = {c: b for c in map(chr, range(0xC0, 0x250)) if (b := unicodedata.normalize("NFD", c)[0]) != c}
+
+
+def unmarked(text: str) -> str:
+    """Text whose Latin letters have lost their marks."""
+    return text.translate(str.maketrans(MARKED))
+
+
+def tokens(text: Column, fold: bool = False) -> Column:
+    """Case-folded runs of letters and digits; ``.`` and ``_`` split; ``fold`` takes the marks off Latin letters."""
+    text = F.translate(text, "".join(MARKED), "".join(MARKED.values())) if fold else text
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str, columns: list[str], stemmed: bool = False) -> DataFrame:
+def postings(docs: DataFrame, key: str, columns: list[str], stemmed: bool = False, fold: bool = False) -> DataFrame:
     """``(key, col, pos, term)``, one row per token of each column."""
-    parts = F.array(*(F.struct(F.lit(c).alias("col"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("ts")) for c in columns))
+    parts = F.array(*(F.struct(F.lit(c).alias("col"), tokens(F.coalesce(F.col(c), F.lit("")), fold).alias("ts")) for c in columns))
     rows = docs.select(key, F.explode(parts).alias("p")).select(key, F.col("p.col").alias("col"), F.posexplode("p.ts").alias("pos", "term"))
     return rows.withColumn("term", stems("term")) if stemmed else rows
 

@@ -142,8 +142,13 @@ def q_left_fanout_distinct(s, d):
 @contract("""SELECT n_name, s_cnt AS n, array_to_string(names[1:6], ', ') || CASE WHEN len(names) > 6 THEN ', …' ELSE '' END AS names
 FROM (SELECT n_name, count(s_suppkey) AS s_cnt, coalesce(list(s_name ORDER BY s_name) FILTER (s_name IS NOT NULL), []) AS names FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name)""")
 def q_two_key_left(s, d):
-    rows = table(s, d, "nation").join(table(s, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return rows.groupBy("n_name").agg(F.count("s_suppkey").alias("n"), F.array_sort(F.collect_list("s_name")).alias("l")).select("n_name", "n", X.first_six(F.col("l")).alias("names"))
+    """A nation's number of suppliers and the first six names; no list is longer than that."""
+    suppliers = table(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", "s_name")
+    first = suppliers.withColumn("rn", F.row_number().over(Window.partitionBy("n_nationkey").orderBy(F.col("s_name").asc_nulls_last()))).where("rn <= 6")
+    names = first.groupBy("n_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), ", ").alias("first"))
+    counts = suppliers.groupBy("n_nationkey").agg(F.count("s_suppkey").alias("n"), F.count("s_name").alias("named"))
+    rows = table(s, d, "nation").join(counts, "n_nationkey", "left").join(names, "n_nationkey", "left")
+    return rows.select("n_name", F.coalesce("n", F.lit(0)).alias("n"), F.concat(F.coalesce("first", F.lit("")), F.when(F.col("named") > 6, ", …").otherwise("")).alias("names"))
 
 
 @contract("""SELECT file_id, prefix FROM (SELECT f.file_id, p.prefix, row_number() OVER (PARTITION BY f.file_id ORDER BY length(p.prefix) DESC) rn FROM source_files f

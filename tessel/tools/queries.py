@@ -281,9 +281,9 @@ def search_entities(t: Tables, query: str, types: list[str] | None = None, modul
     known = [x for x in types or () if x in ("model", "field", "method", "route", "view")]
     columns = ["entity_type", "entity_name", "model_context", "content", "module"]
     docs = t["documents"]
-    post = fts.postings(docs, "doc_id", columns, stemmed=True)
+    post = fts.postings(docs, "doc_id", columns, stemmed=True, fold=True)
     try:
-        tree = fts.parse(fts.sanitize(query))
+        tree = fts.parse(fts.sanitize(fts.unmarked(query)))
     except ValueError as e:
         return {"error": str(e), "query": query}
     hits = docs.join(fts.bm25(post, "doc_id", tree, stemmed=True), "doc_id")
@@ -293,7 +293,9 @@ def search_entities(t: Tables, query: str, types: list[str] | None = None, modul
         hits = hits.where(F.col("module") == module)
     word = query.split()[-1].strip('"*') if query.split() else ""
     found = rows(hits.orderBy(F.desc("score"), "entity_type", "entity_name", "module").select(F.col("entity_type").alias("type"), F.col("entity_name").alias("name"), "module", F.col("model_context").alias("model"), fts.snippet(F.col("content"), word).alias("snippet")), max(1, min(100, limit)))
-    return {"query": query, "results": found, "total": hits.count(), "returned": len(found)}
+    total = hits.count()
+    hint = {} if total or not word else {"hint": f"nothing found: try fewer words, or a prefix like {word[:4]}*"}
+    return {"query": query, "results": found, "total": total, "returned": len(found)} | hint
 
 
 def trace_path(t: Tables, start: str, depth: int = 2, edge_types: tuple[str, ...] = ("field_rel", "inherit", "compute", "state", "action"), token_budget: int = 3000) -> dict:

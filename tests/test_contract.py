@@ -133,5 +133,8 @@ def test_search_against_scan(spark):
     assert hits("appl") == {1, 2, 3} and hits("apple pie") == {1} and hits("red NOT pie") == {2}
     assert hits("pie OR red") == {1, 2, 3} and hits("(pie OR red) apple") == {1, 2}
     assert [r.id for r in fts.search(df, "id", ["t"], "pie", stemmed=True).collect()] == [3, 1]
+    marked = spark.createDataFrame([(1, "Équipe Über naïve"), (2, "equipe")], "id int, t string")
+    folded = fts.postings(marked, "id", ["t"], fold=True)
+    assert {r.id for r in fts.matches(folded, "id", fts.parse(fts.unmarked("équipe"))).collect()} == {1, 2} and fts.unmarked("Über ß") == "Uber ß"
     with pytest.raises(ValueError):
         fts.parse("(a")
