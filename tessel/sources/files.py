@@ -70,7 +70,7 @@ def scan(spark: SparkSession, roots: Sequence[str], exclude: Sequence[str] = ())
                 yield pd.DataFrame(sorted(out), columns=[c.split()[0] for c in SCAN.split(", ")])
 
     listed = spark.createDataFrame(list(modules.values()), "root_ord int, module string, folder string, manifest string")
-    return listed.repartition(max(1, min(len(modules), 10_000))).mapInPandas(read, SCAN)
+    return listed.repartition(max(1, min(len(modules), spark.sparkContext.defaultParallelism + len(modules) // 20, 10_000))).mapInPandas(read, SCAN)
 
 
 def from_table(files: DataFrame) -> DataFrame:
